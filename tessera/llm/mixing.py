@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut_lineage, n_words
+from tessera.llm.shared import cut_lineage, n_words, running_sum
 
 #: A block is a 2**16th of the mix, within 1 and this many words.
 BLOCK_WORDS = 1024
@@ -64,21 +64,6 @@ def targets(sizes: DataFrame, most_repeats: int = 3) -> DataFrame:
     return found.select("source", "source_size", "weight", target.alias("target"), "total")
 
 
-def _running(df: DataFrame, by: str, bucket: str, within: list[Column], value: Column, facts: DataFrame | None = None) -> DataFrame:
-    """`df` with `before`: the sum of `value` over the rows of the same `by` ahead of this one, buckets first in order, then `within`.
-
-    `facts`: more columns by `by`. They come with the buckets' totals, so that no join is on `by` alone.
-    """
-    sums = df.groupBy(by, bucket).agg(F.sum(value).alias("_sum"))
-    ahead = F.coalesce(F.sum("_sum").over(Window.partitionBy(by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(F.col(by).alias("_by"), F.col(bucket).alias("_bucket"), ahead.alias("_ahead"))
-    if facts is not None:
-        sums = sums.join(facts.withColumnRenamed(by, "_fact"), F.col("_by").eqNullSafe(F.col("_fact"))).drop("_fact")
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy(by, bucket).orderBy(*within).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = df.withColumn("_inside", inside).join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col(bucket) == F.col("_bucket")))
-    return found.withColumn("before", F.col("_ahead") + F.col("_inside")).drop("_inside", "_ahead", "_by", "_bucket")
-
-
 def schedule(plan: DataFrame, total: int, block: int) -> DataFrame:
     """(slot, source_id, k): which block of which source each slot of the mix takes, by `plan` (source_id, target)."""
     spark = plan.sparkSession
@@ -93,7 +78,7 @@ def schedule(plan: DataFrame, total: int, block: int) -> DataFrame:
     cells = edges.select("source_id", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), last)).alias("cell"))
     drawn = drawn.withColumn("cell", F.floor(F.col("point") * CELLS)).join(cells, "cell").where("point >= low and point < high")
     drawn = drawn.select("slot", "source_id", F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    ranked = _running(drawn, "source_id", "chunk", [F.col("slot")], F.lit(1)).select("slot", "source_id", F.col("before").cast("long").alias("k"))
+    ranked = running_sum(drawn, "source_id", "chunk", [F.col("slot")], F.lit(1)).select("slot", "source_id", F.col("before").cast("long").alias("k"))
     need = plan.select("source_id", F.ceil(F.round("target") / block).alias("need"))
     counts = drawn.groupBy("source_id").agg(F.count("*").alias("n"))
     kept = ranked.join(need, "source_id").where("k < need").select("slot", "source_id", "k")
@@ -117,7 +102,7 @@ def mix(rows: DataFrame, weights: DataFrame | None = None, most_repeats: int = 3
     total = int(plan.agg(F.max("total")).first()[0] or 0)
     block = max(1, min(block_words, total >> 16))
     facts = plan.select("source", "source_id", "source_size", "target")
-    placed = cut_lineage(_running(rows, "source", "bucket", [F.col("key"), F.col("size")], F.col("size"), facts))
+    placed = cut_lineage(running_sum(rows, "source", "bucket", [F.col("key"), F.col("size")], F.col("size"), facts))
     laps = placed.where("size > 0").select("source_id", "before", "size", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("lap"))
     start = F.col("lap") * F.col("source_size") + F.col("before")
     spans = laps.select("source_id", "before", start.alias("start"), F.least(start + F.col("size"), F.round("target").cast("long")).alias("stop")).where("start < stop")

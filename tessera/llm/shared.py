@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java and DuckDB pattern of a word: anything but space and U+0009 to U+000D.
@@ -29,3 +29,18 @@ def text_or_empty(column: str = "text") -> Column:
 
 def n_words(column: Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def running_sum(df: DataFrame, by: str, bucket: str, within: list[Column], value: Column, facts: DataFrame | None = None) -> DataFrame:
+    """`df` with `before`: the sum of `value` over the rows of the same `by` ahead of this one, buckets first in order, then `within`.
+
+    `facts`: more columns by `by`. They come with the buckets' totals, so that no join is on `by` alone.
+    """
+    sums = df.groupBy(by, bucket).agg(F.sum(value).alias("_sum"))
+    ahead = F.coalesce(F.sum("_sum").over(Window.partitionBy(by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col(by).alias("_by"), F.col(bucket).alias("_bucket"), ahead.alias("_ahead"))
+    if facts is not None:
+        sums = sums.join(facts.withColumnRenamed(by, "_fact"), F.col("_by").eqNullSafe(F.col("_fact"))).drop("_fact")
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(by, bucket).orderBy(*within).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = df.withColumn("_inside", inside).join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col(bucket) == F.col("_bucket")))
+    return found.withColumn("before", F.col("_ahead") + F.col("_inside")).drop("_inside", "_ahead", "_by", "_bucket")
