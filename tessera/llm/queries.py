@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, mixing, packing, quality_rules, url_reputation
+from tessera.llm import chat, fingerprints, mixing, packing, pii, quality_rules, url_reputation
 from tessera.llm.shared import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("pii_entities").cast("long").alias("n_entities"), F.array_join(F.transform("pii_entities", lambda e: e["kind"]), ",").alias("kinds"))
+
+
 def op2_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
@@ -48,7 +53,7 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.rejects("base-v1").alias("base_failed"), "kept", "failed")
 
 
-QUERIES = {f.__name__: f for f in (op2_cutting_stock, op3_source_schedule, op4_host_reputation, op6_scaled_sketch, op8_typed_parts, op9_rule_ledger)}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_cutting_stock, op3_source_schedule, op4_host_reputation, op6_scaled_sketch, op8_typed_parts, op9_rule_ledger)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
