@@ -116,7 +116,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     first = first.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id", "text")).alias("r"))
     links = spark.createDataFrame(list(ahead.items()), "range int, into int")
     borders = first.join(links, "range").select("r.id", "r.text", F.lit(True).alias("border"), F.col("into").alias("range"))
-    dealt = rows.unionByName(borders).repartition(max(2 * len(firsts), 1), "range")
+    dealt = rows.unionByName(borders).repartitionByRange(len(firsts), "range")
     return dealt.sortWithinPartitions("range", "border", F.col("id").asc_nulls_first(), "text")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, mixing, packing, pii, quality_rules, url_reputation
+from tessera.llm import chat, fingerprints, mixing, packing, perplexity, pii, quality_rules, url_reputation
 from tessera.llm.shared import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -53,7 +53,14 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.rejects("base-v1").alias("base_failed"), "kept", "failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_cutting_stock, op3_source_schedule, op4_host_reputation, op6_scaled_sketch, op8_typed_parts, op9_rule_ledger)}
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents that are labelled as of good quality."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    found = perplexity.judge(table(spark, sf_dir, "documents"), trusted)
+    return found.select("doc_id", "lang", "chars", "perplexity", "threshold", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_cutting_stock, op3_source_schedule, op4_host_reputation, op6_scaled_sketch, op8_typed_parts, op9_rule_ledger, op10_kneser_ney)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
