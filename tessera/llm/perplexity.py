@@ -11,7 +11,8 @@ half, so that no document is judged by a model that has seen it or a copy of it
 2. Probabilities. Joins by context and by suffix interpolate each order with the one below.
 3. Scores. Each block of text asks for its distinct n-grams only: the questions are dealt by n-gram and joined with
    the model's counts, order by order, and the answers return to the block, where they meet the block's packed texts.
-4. Thresholds. For each language, documents above the `keep` quantile of the trusted documents' perplexities go.
+4. Thresholds. For each language, documents above the `keep` quantile of the trusted documents' perplexities go, where
+   a perplexity is lowered by how little its text is evidence of (SLACK).
 
 A language with fewer than `least_trusted` trusted documents uses the quantile over all languages.
 
@@ -41,7 +42,9 @@ ORDER = 5
 BLOCK_CHARS = 24_000_000
 #: Trusted ids that are broadcast at most: 8 bytes each, some 50 MB in memory.
 BROADCAST_IDS = 2_000_000
-KEEP = 0.99
+KEEP = 0.998
+#: A short text says little: its log perplexity counts as lower by this over the square root of its characters.
+SLACK = 4.0
 LEAST_TRUSTED = 50
 _START = "\x02"
 _LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
@@ -213,7 +216,7 @@ def perplexities(rows: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: float = KEEP, least_trusted: int = LEAST_TRUSTED, order: int = ORDER) -> DataFrame:
-    """(id, lang, text_hash, chars, perplexity, threshold, kept) for every row of `docs`; `trusted_ids`: (id) of the trusted documents.
+    """(id, lang, text_hash, chars, perplexity, lowered, threshold, kept) for every row of `docs`; `trusted_ids`: (id) of the trusted documents.
 
     The ids of the trusted are broadcast if they are BROADCAST_IDS at most, else both sides are shuffled and the marked
     documents written out, as their order must not change any more.
@@ -225,14 +228,14 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
     hashed = F.xxhash64("text")
     rows = rows.select(F.struct("id", "lang", F.col("_id").isNotNull().alias("trusted"), hashed.alias("text_hash")).alias("key"), F.pmod(hashed, F.lit(2)).cast("int").alias("half"), F.col("_id").isNotNull().alias("trusted"), "text")
     rows = rows if few else cut_lineage(rows)
-    scored = perplexities(rows, order).select("key.*", "chars", F.exp("log_perplexity").alias("perplexity"))
-    empty = rows.where(F.length("text") == 0).select("key.*", F.lit(0).cast("long").alias("chars"), F.lit(None).cast("double").alias("perplexity"))
+    scored = perplexities(rows, order).select("key.*", "chars", F.exp("log_perplexity").alias("perplexity"), F.exp(F.col("log_perplexity") - F.lit(SLACK) / F.sqrt("chars")).alias("lowered"))
+    empty = rows.where(F.length("text") == 0).select("key.*", F.lit(0).cast("long").alias("chars"), *(F.lit(None).cast("double").alias(x) for x in ("perplexity", "lowered")))
     scored = cut_lineage(scored.unionByName(empty))
     known = scored.where("trusted and perplexity is not null")
-    exact = F.percentile_approx("perplexity", F.lit(keep), F.lit(100_000))
+    exact = F.percentile_approx("lowered", F.lit(keep), F.lit(100_000))
     by_lang = known.groupBy(F.col("lang").alias("_lang")).agg(exact.alias("_own"), F.count("*").alias("_n"))
     overall = known.agg(exact.alias("q")).first()["q"]
     # Languages are as many as the documents' labels tell: the join is left to Spark, which knows the size by then.
     found = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     threshold = F.when(F.col("_n") >= least_trusted, F.col("_own")).otherwise(F.lit(overall).cast("double"))
-    return found.select(F.col("id").alias(id_col), "lang", "text_hash", "chars", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("kept"))
+    return found.select(F.col("id").alias(id_col), "lang", "text_hash", "chars", "perplexity", "lowered", threshold.alias("threshold"), F.coalesce(F.col("lowered") <= threshold, F.lit(True)).alias("kept"))
