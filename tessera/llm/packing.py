@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,9 @@ SEQUENCE = 4096
 UNIT = 16
 END_ID = 2
 #: Pieces that are ranked together.
-BUCKET = 1 << 16
+BUCKET = 1 << 12
 #: Distinct words whose ids a task keeps at hand, in each of two generations.
-MEMORY = 250_000
+MEMORY = 500_000
 
 _SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>", re.IGNORECASE)
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
@@ -57,7 +58,7 @@ class WordTokenizer:
         self.old: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         found = self.old.get(word)
@@ -107,8 +108,8 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         encode = tokenizer(path or default_tokenizer()).ids
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for k, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                ids = encode(text or "") + end
                 n = len(ids) // 4
                 rows += [(k, at, min(sequence, n - at), zlib.crc32(ids[4 * at : 4 * (at + sequence)]), n) for at in range(0, n, sequence)]
             place, *rest = np.array(rows, dtype=np.int64).reshape(-1, 5).T
