@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, jaccard_join, mixing, packing, perplexity, pii, quality_rules, url_reputation
+from tessera.llm import chat, fingerprints, jaccard_join, mixing, packing, perplexity, pii, quality_rules, toxicity, url_reputation
 from tessera.llm.shared import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -42,6 +42,14 @@ def op6_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two categories have labels: low quality, then toxic."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    marks = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit(documents, marks, ("low_quality", "toxic"))
+    return toxicity.judge(documents, chain)
+
+
 def op8_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -64,7 +72,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "chars", "perplexity", "threshold", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_cutting_stock, op3_source_schedule, op4_host_reputation, op5_chosen_path, op6_scaled_sketch, op8_typed_parts, op9_rule_ledger, op10_kneser_ney)}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_cutting_stock, op3_source_schedule, op4_host_reputation, op5_chosen_path, op6_scaled_sketch, op7_classifier_chain, op8_typed_parts, op9_rule_ledger, op10_kneser_ney)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
