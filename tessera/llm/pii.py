@@ -22,6 +22,8 @@ one by one, so that repeated rows and ids repeat their result. Other columns pas
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from tessera.llm.shared import cut_lineage
 KEY = "surrogates-v1"
 #: Rounds of drawing again for those that collide. Each leaves a small share of the ones before.
 MOST_ROUNDS = 40
+#: Exceptions that go into the plan as they are; more of them are joined.
+FEW = 500
 
 # Titles by gender, given names by script and gender, and syllables of which surnames are made.
 TITLES = {
@@ -48,27 +52,35 @@ SYLLABLES = {
     "cyrillic": ("бар", "вол", "гор", "дан", "кор", "лев", "мор", "нов", "пет", "рос", "сав", "тар", "фед", "чер", "шар", "яр"),
 }
 
-_NAME = r"\p{Lu}[\p{Ll}]+(?:[-'’]\p{Lu}[\p{Ll}]+)?"
+_NAME = r"\p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++)?"
 _TITLE = "|".join(sorted({t for group in TITLES.values() for t in group}, key=len, reverse=True))
 _GIVEN = "|".join(sorted({n for group in GIVEN.values() for n in group}, key=len, reverse=True))
+_FIRST = "".join(sorted({n[0] for group in (*TITLES.values(), *GIVEN.values()) for n in group}))
+_SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)"
+_BYTE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
-#: Kind and pattern; the first that fits at a place wins.
+#: Kind and pattern; the first that fits at a place wins. Each begins with a look at one character, so that most places cost no more.
 PATTERNS: tuple[tuple[str, str], ...] = (
-    ("email", r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.\p{L}{2,}"),
-    ("secret", r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9+/_-]{8,}={0,2}"),
-    ("key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.\p{L}{2,}"),
+    ("secret", rf"(?=[pPtTsSaA]){_SECRET}\s*[=:]\s*[\"']?[A-Za-z0-9+/_-]{{8,}}={{0,2}}"),
+    ("key", r"(?=A)\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
+    ("iban", r"(?=[A-Z])\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}\b"),
     ("phone", r"\(\d{3}\) ?\d{3}-\d{4}\b"),
-    ("ip", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"),
-    ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
-    ("phone", r"\b\d{3}[ .-]\d{3}[ .-]\d{4}\b"),
-    ("card", r"\b\d{4}(?:[ -]\d{4}){3}\b|\b\d{13,19}\b"),
-    ("person", rf"\b(?:{_TITLE})\b\.?[  ]{_NAME}(?: {_NAME})?|\b(?:{_GIVEN}) {_NAME}\b"),
+    ("ip", rf"(?=\d)\b(?:{_BYTE}\.){{3}}{_BYTE}\b"),
+    ("ssn", r"(?=\d)\b\d{3}-\d{2}-\d{4}\b"),
+    ("phone", r"(?=\d)\b\d{3}[ .-]\d{3}[ .-]\d{4}\b"),
+    ("card", r"(?=\d)\b\d{4}(?:[ -]\d{4}){3}\b|(?=\d)\b\d{13,19}\b"),
+    ("person", rf"(?=[{_FIRST}])\b(?:(?:{_TITLE})\b\.?[ \u00A0]{_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME}\b)"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: A text without any of these has no entity: one quick look spares most texts the long pattern.
-_HINT = rf"[0-9@]|(?i:password|passwd|pwd|token|secret|api[_-]?key)|\b(?:{_TITLE}|{_GIVEN})\b"
+#: A text that has neither of these has no entity: the long pattern looks at few texts.
+_HINTS = ("[0-9@=:]", rf"(?=[{_FIRST}])\b(?:{_TITLE}|{_GIVEN})\b")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with the value worked out once: in a lambda, Spark would work it out again at each use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def kind_of(entity: Column) -> Column:
@@ -80,7 +92,7 @@ def kind_of(entity: Column) -> Column:
 
 def detect(text: Column) -> Column:
     """The entities of a text in order, as array<string>."""
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(_HINTS[0]) | text.rlike(_HINTS[1]), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _digest(*parts: Column | str) -> Column:
@@ -94,9 +106,10 @@ def _number(digest: Column, k: Column | int, below: Column | int) -> Column:
 
 
 def _same_classes(text: Column, digest: Column, hexadecimal: Column) -> Column:
-    """`text` with each digit and letter replaced by another of its class."""
+    """`text` with each digit and letter replaced by another of its class. What stands between them doesn't matter."""
 
-    def one(c: Column, k: Column) -> Column:
+    def one(c: Column, at: Column) -> Column:
+        k = F.length(F.regexp_replace(F.substr(text, F.lit(1), at + 1), r"[^\p{L}\p{N}]", ""))
         # A long text uses the digest's groups again, shifted by how often it has been through.
         n = _number(digest, k, 65536) + F.floor(k / 32).cast("int") * 7919
 
@@ -177,7 +190,6 @@ def parts_of(entity: Column) -> Column:
         return F.substr(entity, F.lit(1), F.length(entity) - F.length(form))
 
     nothing = F.lit("")
-    kind = kind_of(entity)
     name = F.regexp_replace(entity, rf"^(?:{_TITLE})\b\.?[  ]", "")
     words = F.split(name, " ")
     gender, script = _gender(entity), _script(entity)
@@ -186,7 +198,8 @@ def parts_of(entity: Column) -> Column:
     person = F.when(F.size(words) > 1, full).otherwise(F.array(part(surname, name, rest_of(name))))
     address = F.array(part("local", F.substring_index(entity, "@", 1), nothing), part("domain", F.substring_index(entity, "@", -1), F.lit("@")))
     value = F.regexp_extract(entity, r"[=:]\s*[\"']?(.*)$", 1)
-    return F.when(kind == "person", person).when(kind == "email", address).when(kind == "secret", F.array(part("secret", value, rest_of(value)))).otherwise(F.array(part(kind, entity, nothing)))
+    by_kind = lambda kind: F.when(kind == "person", person).when(kind == "email", address).when(kind == "secret", F.array(part("secret", value, rest_of(value)))).otherwise(F.array(part(kind, entity, nothing)))
+    return let(kind_of(entity), by_kind)
 
 
 def canonical(kind: Column, form: Column) -> Column:
@@ -195,18 +208,21 @@ def canonical(kind: Column, form: Column) -> Column:
 
 def surrogate(kind: Column, form: Column, variant: Column, key: str = KEY) -> Column:
     """The surrogate of one part: its format is that of `form`, its content depends on key, kind, canonical form and variant."""
-    canon = canonical(kind, form)
-    digest = _digest(key, kind, canon, variant.cast("string"))
+    return let(_digest(key, kind, canonical(kind, form), variant.cast("string")), lambda digest: _drawn(kind, form, variant, digest))
+
+
+def _drawn(kind: Column, form: Column, variant: Column, digest: Column) -> Column:
     hexadecimal = form.rlike(r"^[0-9a-f]+$") | form.rlike(r"^[0-9A-F]+$")
     digits = F.regexp_replace(form, r"\D", "")
     country = F.regexp_extract(form, r"^(\+\d{1,3}(?=[ .(-]))", 1)
-    phone = F.concat(country, _put_digits(F.substr(form, F.length(country) + 1), _same_classes(F.substr(digits, F.length(F.regexp_replace(country, r"\D", "")) + 1), digest, F.lit(False))))
-    drawn = F.concat(F.substr(digits, F.lit(1), F.lit(1)), _same_classes(F.substr(digits, F.lit(2)), digest, F.lit(False)))
-    body = F.substr(drawn, F.lit(1), F.length(drawn) - 1)
-    check = F.pmod(F.lit(10) - _luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
-    valid = _luhn_sum(digits) == 0
-    off = F.when(valid, F.lit(0)).otherwise(_number(digest, 31, 9) + 1)
-    card = _put_digits(form, F.concat(body, F.pmod(check + off, F.lit(10)).cast("string")))
+    phone = F.concat(country, _same_classes(F.substr(form, F.length(country) + 1), digest, F.lit(False)))
+    off = F.when(_luhn_sum(digits) == 0, F.lit(0)).otherwise(_number(digest, 31, 9) + 1)
+
+    def checked(body: Column) -> Column:
+        check = F.pmod(F.lit(20) - _luhn_sum(F.concat(body, F.lit("0"))) + off, F.lit(10))
+        return let(F.concat(body, check.cast("string")), lambda d: _put_digits(form, d))
+
+    card = let(F.concat(F.substr(digits, F.lit(1), F.lit(1)), _same_classes(F.substr(digits, F.lit(2), F.length(digits) - 2), digest, F.lit(False))), checked)
     ip = F.concat_ws(".", *(_number(digest, k, 254) + 1 for k in range(4)))
     iban = F.concat(F.substr(form, F.lit(1), F.lit(2)), _same_classes(F.substr(form, F.lit(3)), digest, F.lit(False)))
     code = F.concat(F.substr(form, F.lit(1), F.lit(4)), _same_classes(F.substr(form, F.lit(5)), digest, F.lit(False)))
@@ -217,7 +233,7 @@ def surrogate(kind: Column, form: Column, variant: Column, key: str = KEY) -> Co
     # Short forms have few others of their kind; after some draws they grow.
     longer = F.when(variant > 4, _same_classes(F.lit("aa00"), F.reverse(digest), F.lit(False))).otherwise(F.lit(""))
     return (
-        F.when(kind.isin("phone", "ssn"), F.when(kind == "ssn", _put_digits(form, _same_classes(digits, digest, F.lit(False)))).otherwise(phone))
+        F.when(kind.isin("phone", "ssn"), phone)
         .when(kind == "card", card)
         .when(kind == "ip", ip)
         .when(kind == "iban", iban)
@@ -277,8 +293,13 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY, checked: bo
         parts = docs.select(F.explode(detect(F.col(text_col))).alias("entity")).distinct().select(F.inline(parts_of(F.col("entity"))))
         collided = exceptions(parts, key)
         if collided is not None:
-            found = _with_variants(found, collided)
-            variants = F.col("_variants")
+            few = collided.limit(FEW + 1).collect()
+            if len(few) <= FEW:
+                names, numbers = [f"{r['kind']}|{r['canon']}" for r in few], [r["variant"] for r in few]
+                variants = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, numbers)))
+            else:
+                found = _with_variants(found, collided)
+                variants = F.col("_variants")
     by = F.transform("_entities", lambda e: _replaced(e, variants, key))
     found = found.withColumn("_by", F.when(F.size("_entities") > 0, by).otherwise(F.array().cast("array<string>")))
     between = F.split(F.col(text_col), PATTERN, -1)
