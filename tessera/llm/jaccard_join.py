@@ -5,7 +5,8 @@ with the same set form one class and go on as one.
 
 1. Paths. In each run a set follows the token that a hash function of the run picks from it, the same one for all sets
    that share it. A bucket of SMALL sets or fewer is compared as it is; a larger one is split again, each set following
-   BRANCHES more tokens, up to DEPTH times. Two similar sets stay together in a run with a known probability
+   BRANCHES more tokens, up to DEPTH times, unless it has kept over half of the bucket that it came from: its sets are
+   alike. Two similar sets stay together in a run with a known probability
    (`run_recall`); runs repeat until the target recall is reached (`runs_for`).
 2. Buckets. Sets meet in each bucket that they share, and a pair counts in the bucket with the smallest name only, so
    that no pair is found twice. Small sketches tell which sets of a bucket may have a partner; only these are sent as a
@@ -90,18 +91,19 @@ def leaves(classes: DataFrame, runs: int) -> DataFrame:
     """(path, cid, size): the buckets, of two sets or more, in which each set (cid, picks) is compared."""
     each = 1 + BRANCHES * DEPTH
     start = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), F.xxhash64(r, F.get(F.col("picks"), r * each)).alias("path")))
-    rows = classes.select("cid", F.inline(start))
+    rows = classes.select("cid", F.inline(start)).withColumn("whole", F.lit(None).cast("long"))
     found = None
     for depth in range(DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         rows = cut_lineage(rows.join(sizes, "path"))
-        done = rows if depth == DEPTH else rows.where(F.col("size") <= SMALL)
+        ends = F.lit(True) if depth == DEPTH else (F.col("size") <= SMALL) | F.coalesce(2 * F.col("size") > F.col("whole"), F.lit(False))
+        done = rows.where(ends)
         found = done.select("path", "cid", "size") if found is None else found.unionByName(done.select("path", "cid", "size"))
         if depth < DEPTH:
-            large = rows.where(F.col("size") > SMALL).join(classes.select("cid", "picks"), "cid")
+            large = rows.where(~ends).join(classes.select("cid", "picks"), "cid")
             at = F.col("run") * each + 1 + depth * BRANCHES
             split = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda b: F.xxhash64(F.col("path"), b, F.get(F.col("picks"), at + b)))
-            rows = large.select("cid", "run", F.explode(split).alias("path"))
+            rows = large.select("cid", "run", F.explode(split).alias("path"), F.col("size").alias("whole"))
     return found
 
 
