@@ -268,7 +268,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
-    """(doc_id, text_hash, class_id, n_links, n_partners) for every row; n_partners counts linked sets other than the document's own."""
+    """(doc_id, text_hash, class_id, n_links, n_partners, component) for every row.
+
+    n_partners counts linked sets other than the document's own. component tells groups apart even where ids repeat; it
+    is null for a document without shingles.
+    """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     runs = runs_for(recall)
     rows = cut_lineage(sets(docs, runs * (1 + BRANCHES * DEPTH)))
@@ -282,7 +286,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reca
     named = classes.select("a", "b", "cid", "doc", "copies").join(counts, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left")
     named = named.withColumn("root", F.coalesce("root", "cid"))
     first = named.groupBy("root").agg(F.min("doc").alias("class_id"))
-    named = named.join(first, "root").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("partners", F.lit(0)).alias("n_partners"))
-    alone = rows.where("n = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_partners"))
-    linked = rows.where("n > 0").join(named, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("doc_id", "text_hash", "class_id", "n_links", "n_partners")
+    named = named.join(first, "root").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("partners", F.lit(0)).alias("n_partners"), F.col("root").alias("component"))
+    alone = rows.where("n = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), *(F.lit(0).cast("long").alias(x) for x in ("n_links", "n_partners")), F.lit(None).cast("long").alias("component"))
+    linked = rows.where("n > 0").join(named, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("doc_id", "text_hash", "class_id", "n_links", "n_partners", "component")
     return linked.unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each group in `found`, which `groups` made of them: the one with the smallest id.
+
+    Documents without shingles all stay.
+    """
+    keep = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
+    keep = keep.unionByName(found.where("component is null").select("doc_id", "text_hash")).distinct().toDF("_keep", "_keep_hash")
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = hashed.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_keep_hash")), "left_semi")
+    repeated = found.where("component is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.withColumn("_words", F.rlike(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
+        kept = kept.where("_words").dropDuplicates([id_col, "_hash"]).unionByName(kept.where("not _words")).drop("_words")
+    return kept.drop("_hash")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut_lineage, n_words, running_sum
+from tessera.llm.shared import WORD, cut_lineage, n_words, running_sum
 
 #: A block is a 2**16th of the mix, within 1 and this many words.
 BLOCK_WORDS = 1024
@@ -111,3 +111,28 @@ def mix(rows: DataFrame, weights: DataFrame | None = None, most_repeats: int = 3
     taken = parts.join(schedule(plan, total, block), ["source_id", "k"]).groupBy("source_id", "before").agg(F.sum(words).alias("taken"))
     found = placed.join(taken, ["source_id", "before"], "left")
     return found.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """`docs` as often as the mix takes them, whole lap after whole lap.
+
+    Where a source's target ends within a document, its last copy has the words up to there, one space apart.
+    """
+    given = docs.columns
+
+    def name(doc: str, source: str, size: Column) -> Column:
+        return F.md5(F.concat_ws("|", F.coalesce(F.col(doc).cast("string"), F.lit("")), F.col(doc).isNull(), F.coalesce(F.col(source).cast("string"), F.lit("")), F.col(source).isNull(), size))
+
+    facts = mixed.select(name("doc_id", "source", F.col("size")).alias("_name"), F.col("taken").alias("_taken"), F.col("size").alias("_size"))
+    rows = docs.withColumn("_row_name", name(id_col, source_col, n_words(F.col(text_col))))
+    same = F.col("_name") == F.col("_row_name")
+    if not facts.groupBy("_name").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # ids repeat: rows with one name by turns
+        facts = facts.withColumn("_turn", F.row_number().over(Window.partitionBy("_name").orderBy("_taken")))
+        rows = rows.withColumn("_row_turn", F.row_number().over(Window.partitionBy("_row_name").orderBy(text_col)))
+        same = same & (F.col("_turn") == F.col("_row_turn"))
+    rows = rows.join(facts.where("_taken > 0"), same)
+    copies = F.ceil(F.col("_taken") / F.col("_size"))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    rest = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), rest.cast("int")), " ")
+    return rows.withColumn(text_col, F.when(rest < F.col("_size"), cut).otherwise(F.col(text_col))).select(*given)

@@ -239,3 +239,10 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
     found = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     threshold = F.when(F.col("_n") >= least_trusted, F.col("_own")).otherwise(F.lit(overall).cast("double"))
     return found.select(F.col("id").alias(id_col), "lang", "text_hash", "chars", "perplexity", "lowered", threshold.alias("threshold"), F.coalesce(F.col("lowered") <= threshold, F.lit(True)).alias("kept"))
+
+
+def keep(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` that `judge` keeps."""
+    gone = judged.where("not kept").select(F.col(id_col).alias("_id"), F.col("lang").alias("_lang"), F.col("text_hash").alias("_text_hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(lang_col).cast("string").eqNullSafe(F.col("_lang")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_text_hash"))
+    return docs.join(gone, same, "left_anti")
