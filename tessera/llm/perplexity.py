@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut_lineage
+from tessera.llm.shared import Scratch, cut_lineage
 from tessera.llm.words import chunks, mix, text_buffers
 
 ORDER = 5
@@ -113,9 +113,9 @@ def _counts(rows: DataFrame, order: int) -> DataFrame:
     return rows.select("half", "text").mapInArrow(run, "half int, gram string, n long").groupBy("half", "gram").agg(F.sum("n").alias("n"))
 
 
-def model(trusted: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
+def model(trusted: DataFrame, scratch: Scratch, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
     """By order from 1: (half, gram, p) and (half, context, backoff), from the trusted rows (half, text)."""
-    counts = {order: cut_lineage(_counts(trusted, order))}
+    counts = {order: scratch.write(_counts(trusted, order))}
     for k in range(order - 1, 0, -1):
         counts[k] = counts[k + 1].groupBy("half", F.substr("gram", F.lit(2)).alias("gram")).agg(F.count("*").alias("n"))
     grams, contexts = [], []
@@ -129,43 +129,44 @@ def model(trusted: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list
         # A row for each of the two models: broadcasting it is bounded.
         with_d = counts[k].join(F.broadcast(discounts), "half").withColumn("context", F.substr("gram", F.lit(1), F.lit(k - 1)))
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = with_d.groupBy("half", "context").agg(F.sum("n").alias("total"), F.sum(d).alias("left"), F.max("kinds").alias("kinds")).withColumn("backoff", F.col("left") / F.col("total"))
+        own = with_d.groupBy("half", "context").agg(F.sum("n").alias("total"), F.sum(d).alias("left"), F.max("kinds").alias("kinds"))
+        own = scratch.write(own.withColumn("backoff", F.col("left") / F.col("total")))
         p = with_d.select("half", "gram", "context", (F.col("n") - d).alias("above")).join(own, ["half", "context"])
         if lower is None:
             p = p.withColumn("below", 1.0 / (F.col("kinds") + 1))
         else:
             p = p.withColumn("suffix", F.substr("gram", F.lit(2))).join(lower.select("half", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["half", "suffix"])
-        lower = cut_lineage(p.select("half", "gram", (F.col("above") / F.col("total") + F.col("backoff") * F.col("below")).alias("p"), "kinds"))
+        lower = scratch.write(p.select("half", "gram", (F.col("above") / F.col("total") + F.col("backoff") * F.col("below")).alias("p"), "kinds"))
         grams.append(lower)
-        contexts.append(cut_lineage(own.select("half", "context", "backoff", "kinds")))
+        contexts.append(own.select("half", "context", "backoff", "kinds"))
     return grams, contexts
 
 
-def _answers(asked: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
-    """(half, gram, logp) for the distinct (half, gram) asked for, by joins from the highest order down."""
-    order = len(grams)
+def _answers(asked: DataFrame, grams: list[DataFrame], contexts: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(half, gram, logp) for the distinct (half, gram) asked for, by joins from the highest order down.
+
+    What an order has not seen goes on to the one below by its suffix, at the weight of its context's back-off.
+    """
     open_ = asked.withColumn("weight", F.lit(1.0)).withColumn("key", F.col("gram"))
     done = None
-    for k in range(order, 0, -1):
-        found = open_.join(grams[k - 1].select("half", F.col("gram").alias("key"), "p"), ["half", "key"], "left").withColumn("context", F.substr("key", F.lit(1), F.lit(k - 1)))
+    for k in range(len(grams), 0, -1):
+        found = scratch.write(open_.join(grams[k - 1].select("half", F.col("gram").alias("key"), "p"), ["half", "key"], "left"))
         hit = found.where("p is not null").select("half", "gram", F.log(F.col("weight") * F.col("p")).alias("logp"))
         done = hit if done is None else done.unionByName(hit)
-        missed = found.where("p is null").drop("p").join(contexts[k - 1], ["half", "context"], "left")
-        weight = F.col("weight") * F.coalesce("backoff", F.lit(1.0))
-        open_ = missed.select("half", "gram", weight.alias("weight"), F.substr("key", F.lit(2)).alias("key"), "kinds")
-        if k > 1:
-            open_ = open_.drop("kinds")
+        missed = found.where("p is null").drop("p").withColumn("context", F.substr("key", F.lit(1), F.lit(k - 1)))
+        missed = missed.join(contexts[k - 1].select("half", "context", "backoff", "kinds"), ["half", "context"], "left")
+        open_ = missed.select("half", "gram", (F.col("weight") * F.coalesce("backoff", F.lit(1.0))).alias("weight"), F.substr("key", F.lit(2)).alias("key"), *(["kinds"] if k == 1 else []))
     unseen = open_.select("half", "gram", F.log(F.col("weight") / (F.coalesce("kinds", F.lit(0)) + 1)).alias("logp"))
     return done.unionByName(unseen)
 
 
-def perplexities(rows: DataFrame, order: int = ORDER) -> DataFrame:
+def perplexities(rows: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFrame:
     """(key, chars long, log_perplexity double), where it has a text, for each row (key, half int, trusted boolean, text).
 
     The rows are read twice and must come in the same order both times, as they do from files: a text that meets no
     answers raises an error.
     """
-    grams, contexts = model(rows.where("trusted"), order)
+    grams, contexts = model(rows.where("trusted"), scratch, order)
     blocks = rows.where(F.length("text") > 0).select("key", "half", "text")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +185,10 @@ def perplexities(rows: DataFrame, order: int = ORDER) -> DataFrame:
                 out.write_batch(block)
             yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + number]), pa.array([zlib.compress(table.getvalue(), 1)], pa.binary())], names=["block", "rows"])
 
-    asked = blocks.mapInArrow(ask, "block long, gram string")
+    asked = scratch.write(blocks.mapInArrow(ask, "block long, gram string"))
     both = asked.select("gram").distinct().select("gram", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
-    answers = _answers(both, grams, contexts).groupBy("gram").agg(*(F.max(F.when(F.col("half") == h, F.col("logp"))).cast("float").alias(f"logp{h}") for h in (0, 1)))
-    replies = asked.join(cut_lineage(answers), "gram").groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("gram", "logp0", "logp1")))
+    answers = _answers(both, grams, contexts, scratch).groupBy("gram").agg(*(F.max(F.when(F.col("half") == h, F.col("logp"))).cast("float").alias(f"logp{h}") for h in (0, 1)))
+    replies = asked.join(scratch.write(answers), "gram").groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("gram", "logp0", "logp1")))
     carried = blocks.mapInArrow(carry, "block long, rows binary")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +229,11 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
     hashed = F.xxhash64("text")
     rows = rows.select(F.struct("id", "lang", F.col("_id").isNotNull().alias("trusted"), hashed.alias("text_hash")).alias("key"), F.pmod(hashed, F.lit(2)).cast("int").alias("half"), F.col("_id").isNotNull().alias("trusted"), "text")
     rows = rows if few else cut_lineage(rows)
-    scored = perplexities(rows, order).select("key.*", "chars", F.exp("log_perplexity").alias("perplexity"), F.exp(F.col("log_perplexity") - F.lit(SLACK) / F.sqrt("chars")).alias("lowered"))
+    scratch = Scratch(docs.sparkSession)
+    scored = perplexities(rows, scratch, order).select("key.*", "chars", F.exp("log_perplexity").alias("perplexity"), F.exp(F.col("log_perplexity") - F.lit(SLACK) / F.sqrt("chars")).alias("lowered"))
     empty = rows.where(F.length("text") == 0).select("key.*", F.lit(0).cast("long").alias("chars"), *(F.lit(None).cast("double").alias(x) for x in ("perplexity", "lowered")))
     scored = cut_lineage(scored.unionByName(empty))
+    scratch.drop()
     known = scored.where("trusted and perplexity is not null")
     exact = F.percentile_approx("lowered", F.lit(keep), F.lit(100_000))
     by_lang = known.groupBy(F.col("lang").alias("_lang")).agg(exact.alias("_own"), F.count("*").alias("_n"))

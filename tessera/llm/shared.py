@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables written into a folder of their own under spark.checkpoint.dir, to be dropped together once nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
+        self.folder = f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """`df`, written and read again: compressed and by column, unlike a checkpoint."""
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
