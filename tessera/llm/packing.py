@@ -19,6 +19,7 @@ gives whole sequences and one shorter piece. Repeated rows are documents of thei
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -42,6 +43,10 @@ MEMORY = 500_000
 _SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>", re.IGNORECASE)
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 
+#: Byte-level models write each byte as one letter: printable ones as they are, the others in order from U+0100.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = dict(zip([b for b in range(256) if b not in _PRINTABLE], map(chr, range(256, 512))))
+
 
 class WordTokenizer:
     """Token ids of whole texts by a tokenizer that lower-cases, drops white space and joins nothing across it.
@@ -56,17 +61,26 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # Where words of letters go to the model as they are, byte by byte, the steps around it can be left out.
+        self.direct = all(self._encode(w) == self._letters(w) for w in ("the", "straße", "übertriebenheit", "слово"))
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _letters(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def _word(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
             parts = _WORD_AND_MARKS.fullmatch(word)
             if parts:
                 return self._known(parts[1]) + self._known(parts[2])
-            found = self._encode(word)
+            plain = self.direct and word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word))
+            found = self._letters(word) if plain else self._encode(word)
         if len(self.new) >= MEMORY:
             self.old, self.new = self.new, {}
         self.new[word] = found
