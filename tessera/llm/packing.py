@@ -76,11 +76,11 @@ class WordTokenizer:
     def _word(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            parts = _WORD_AND_MARKS.fullmatch(word)
+            composed = word.isascii() or unicodedata.is_normalized("NFC", word)
+            parts = _WORD_AND_MARKS.fullmatch(word) if composed else None
             if parts:
                 return self._known(parts[1]) + self._known(parts[2])
-            plain = self.direct and word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word))
-            found = self._letters(word) if plain else self._encode(word)
+            found = self._letters(word) if self.direct and composed and word.isalpha() else self._encode(word)
         if len(self.new) >= MEMORY:
             self.old, self.new = self.new, {}
         self.new[word] = found
