@@ -19,8 +19,11 @@ def capped_total(reasons: Column, groups: Mapping[str, str], caps: Mapping[str,
     def add(chosen: Column) -> Column:
         return F.aggregate(chosen, F.lit(0.0), lambda s, r: s + r["weight"])
 
+    def of_group(group: str) -> Column:
+        return F.filter(reasons, lambda r: F.element_at(known, r["code"]) == group)
+
     for group, cap in caps.items():
-        total = total + F.least(F.lit(float(cap)), add(F.filter(reasons, lambda r, g=group: F.element_at(known, r["code"]) == g)))
+        total = total + F.least(F.lit(float(cap)), add(of_group(group)))
     alone = F.filter(reasons, lambda r: ~F.coalesce(F.element_at(known, r["code"]), F.lit("")).isin(*caps))
     return F.least(F.lit(float(most)), total + add(alone))
 
@@ -30,9 +33,10 @@ def risk_tier(score: Column) -> Column:
     return first_match([("T3", score >= 70), ("T2", score >= 40), ("T1", score >= 20)], "T0")
 
 
-def link_by_reach(score_reach: int) -> Column:
-    """max(0.1, 1 - distance / reach), 4 digits, for a column `distance`."""
-    return F.bround(F.greatest(F.lit(0.1), 1 - F.col("distance") / F.lit(float(score_reach))), 4)
+def link_by_reach(reach: int, digits: int | None = 4) -> Column:
+    """max(0.1, 1 - distance / reach) for a column `distance`, rounded half to even unless `digits` is None."""
+    score = F.greatest(F.lit(0.1), 1 - F.col("distance") / F.lit(float(reach)))
+    return score if digits is None else F.bround(score, digits)
 
 
 LINK_WEIGHTS: Sequence[tuple[str, float]] = (

@@ -26,8 +26,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from tessera.plans import queries as _  # registers them
+
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return _ORACLES
