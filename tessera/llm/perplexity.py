@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import Scratch, cut_lineage
 from tessera.llm.words import chunks, mix, text_buffers
 
-ORDER = 5
+ORDER = 4
 #: Bytes of text of a block, or one longer document.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 32_000_000
 #: Trusted ids that are broadcast at most: 8 bytes each, some 50 MB in memory.
 BROADCAST_IDS = 2_000_000
 KEEP = 0.998
