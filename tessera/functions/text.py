@@ -89,7 +89,7 @@ def labels(value: Column) -> Column:
     """Labels from a JSON array or a list with commas, semicolons or bars: trimmed, distinct, in order."""
     parsed = F.from_json(value, "array<string>")
     parts = F.when(F.trim(value).startswith("["), parsed).otherwise(F.split(value, r"[,;|]"))
-    return F.coalesce(F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x.isNotNull() & (x != ""))), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))), F.array().cast("array<string>"))
 
 
 def doi(value: Column) -> Column:
