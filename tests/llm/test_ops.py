@@ -323,7 +323,7 @@ def brute_groups(texts):
 def near(text, rng, edits):
     w = text.split(" ")
     for _ in range(edits):
-        w[rng.randrange(len(w))] = f"edit{rng.random()}"
+        w[rng.randrange(len(w))] = prose(rng.random(), 1)
     return " ".join(w)
 
 
