@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.rules import first_match, keyword_hits, keyword_score, signals
-from tessera.operators import evidence, joins, metrics, sampling, scoring, segment
+from tessera.operators import evidence, joins, metrics, provenance, sampling, scoring, segment
 from tessera.plans.registry import query
 
 #: Stand-ins for a domain's keywords, common in the tables' prose.
@@ -400,3 +400,18 @@ def span_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document classified by the evidence cascade, with its fields."""
     found = evidence.extract(evidence.classify(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text"), "text")
     return found.drop("text")
+
+
+@query("""with x as (select page_id, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) as lang, case when html is null then '' else html end as html from pages)
+select page_id, case when lang = 'en' then 'introduction' when lang = 'de' then 'results' when lang = 'fr' then 'methods' else 'unknown' end as label from x""")
+def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings to section labels, on headings made from the pages' languages."""
+    lang = F.regexp_extract("url", r"://[^/]*/([a-z]+)/", 1)
+    made = F.when(lang == "en", "## 1. Introduction").when(lang == "de", "**Results of runs**").when(lang == "fr", "IV. Experimental Section").otherwise("Thoughts")
+    return _t(spark, sf_dir, "pages").select("page_id", provenance.section_label(made).alias("label"))
+
+
+@query()
+def span_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The provenance of every document's text."""
+    return provenance.infer(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")

@@ -203,3 +203,31 @@ def test_replicate_gate(spark):
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert segment.lines(docs).count() == segment.sections(docs).count() == evidence.classify(docs, "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [("## 1. Introduction", "introduction"), ("**Results and Discussion**", "results_and_discussion"), ("A b s t r a c t", "abstract"), ("IV. Experimental Section", "methods"), ("Results of runs", "results"), ("Literature Cited", "references"), ("Supporting Information", "supplementary"), ("Thoughts", "unknown"), ("", "unknown")],
+)
+def test_section_labels(spark, text, label):
+    from tessera.operators import provenance
+
+    assert one(spark, provenance.section_label(F.col("x")), x=text) == label
+
+
+def test_provenance(spark):
+    from tessera.operators import provenance
+
+    cases = [
+        ("[1] A, et al. 2001\n[2] B et al. 2002\n[3] C et al.", "References", "reference", False),
+        ("| a | b |\n|---|---|\n| 1 | 2 |", None, "table", False),
+        ("Figure 3. A cell", None, "figure_caption", False),
+        ("Scheme 1: steps", None, "scheme_caption", False),
+        ("We saw that", "3. Results", "results", True),
+        ("We saw that", None, "body", True),
+        ("", None, "unknown", False),
+        (None, None, "unknown", False),
+    ]
+    df = spark.createDataFrame([(k, t, s) for k, (t, s, _, _) in enumerate(cases)], "k int, text string, section string")
+    found = {r.k: (r.provenance, r.primary_admissible) for r in provenance.infer(df, "text", "section").collect()}
+    assert found == {k: (p, ok) for k, (_, _, p, ok) in enumerate(cases)}
