@@ -39,7 +39,7 @@ from tessera.llm.words import chunks, mix, text_buffers
 
 ORDER = 4
 #: Bytes of text of a block, or one longer document.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 14_000_000
 #: Trusted ids that are broadcast at most: 8 bytes each, some 50 MB in memory.
 BROADCAST_IDS = 2_000_000
 KEEP = 0.998
