@@ -69,16 +69,25 @@ def within_range(left: DataFrame, right: DataFrame, keys: Sequence[str], positio
     return found.drop("_cell", "_own_cell")
 
 
-def nearest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], position: str, columns: Sequence[str]) -> DataFrame:
+def nearest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], position: str, columns: Sequence[str], width: int | None = None) -> DataFrame:
     """`left` with `columns` of the last row of `right` at or before its position, within equal keys.
 
-    Both sides are sorted together once; each row then carries the latest values of the other side.
+    Both sides are sorted together once; each row then carries the latest values of the other side. With a `width`, a
+    key's rows are dealt out by cells of positions, and each cell begins with what the cells ahead of it end with: so a
+    key with many rows is not one task's work.
     """
-    own = left.withColumn("_from", F.lit(1)).withColumn("_row", F.lit(None).cast(_struct_type(right, columns)))
-    other = right.select(*keys, position, F.struct(*columns).alias("_row"), F.lit(0).alias("_from"))
+    cell = F.floor(F.col(position) / width).cast("long") if width else F.lit(0).cast("long")
+    kind = _struct_type(right, columns)
+    own = left.withColumn("_from", F.lit(1)).withColumn("_row", F.lit(None).cast(kind)).withColumn("_cell", cell)
+    other = right.select(*keys, position, F.struct(*columns).alias("_row"), F.lit(0).alias("_from"), cell.alias("_cell"))
     both = own.unionByName(other, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(position, "_from").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keys, "_cell").orderBy(position, "_from").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_last", F.last("_row", ignorenulls=True).over(order)).where("_from = 1")
+    if width:
+        ends = both.groupBy(*keys, "_cell").agg(F.max_by(F.col("_row"), F.when(F.col("_from") == 0, F.col(position))).alias("_end"))
+        ahead = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*keys, "_cell", F.last("_end", ignorenulls=True).over(ahead).alias("_carried"))
+        found = found.join(ends, [*keys, "_cell"]).withColumn("_last", F.coalesce("_last", "_carried"))
     return found.select(*left.columns, *(F.col(f"_last.{c}").alias(c) for c in columns))
 
 

@@ -15,15 +15,29 @@ def hash_split(df: DataFrame, key: str, holdout: str = "holdout", rest: str = "d
     return df.withColumn("split", F.when(hash_bucket(F.col(key)) == 3, holdout).otherwise(rest))
 
 
+def hash_ranks(df: DataFrame, key: str, tie: str) -> DataFrame:
+    """`df` with `_place` from 0 in the order of its hexadecimal `key`, and `_n`, all its rows.
+
+    Rows are ranked within the 4,096 buckets of their first three digits; only the buckets' counts are added up in one task.
+    """
+    keyed = df.withColumn("_bucket", F.substr(key, F.lit(1), F.lit(3)))
+    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_count"))
+    ahead = F.coalesce(F.sum("_count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("_bucket").alias("_b"), ahead.alias("_ahead"), F.sum("_count").over(Window.partitionBy()).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, tie)) - 1
+    # 4,096 rows at most.
+    found = keyed.withColumn("_inside", inside).join(F.broadcast(counts), F.col("_bucket") == F.col("_b"))
+    return found.withColumn("_place", F.col("_ahead") + F.col("_inside")).drop("_bucket", "_b", "_ahead", "_inside")
+
+
 def group_split(df: DataFrame, group: str, train: float = 0.70, dev: float = 0.15, seed: int = 13) -> DataFrame:
     """`df` with `split` train, dev or test, whole groups together, in hash order.
 
     Train has round(n * train) groups, one at least; dev round(n * dev), fewer if test would have none. One group is
-    train; of two, one is train and one test. Only the groups are ranked, not their rows.
+    train; of two, one is train and one test.
     """
     groups = df.select(group).distinct().withColumn("_key", sampling_key(seed, F.col(group)))
-    order = Window.orderBy("_key", group)
-    ranked = groups.select(F.col(group).alias("_group"), (F.row_number().over(order) - 1).alias("_place"), F.count("*").over(Window.partitionBy()).alias("_n"))
+    ranked = hash_ranks(groups.withColumnRenamed(group, "_group"), "_key", "_group")
     n = F.col("_n")
     first = F.greatest(F.lit(1), F.bround(n * F.lit(train))).cast("int")
     second = F.when(n <= 2, 0).otherwise(F.greatest(F.lit(0), F.least(F.bround(n * F.lit(dev)).cast("int"), n - first - 1)))

@@ -161,7 +161,7 @@ def nearest_preceding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each row the latest row of another kind at or before it."""
     events = _events(spark, sf_dir)
     views = joins.keep_one(events.where("event_type = 'view'").select("user_id", "at", F.col("event_id").alias("last_view")), ["user_id", "at"], [F.desc("last_view")])
-    found = joins.nearest_before(events.where("event_type = 'purchase'").select("event_id", "user_id", "at"), views, ["user_id"], "at", ["last_view"])
+    found = joins.nearest_before(events.where("event_type = 'purchase'").select("event_id", "user_id", "at"), views, ["user_id"], "at", ["last_view"], width=86_400)
     return found.select("event_id", "user_id", "last_view")
 
 

@@ -76,6 +76,13 @@ def test_nearest_before(spark):
     assert found == {("x", 5): "q", ("x", 1): None, ("y", 9): None}
 
 
+def test_nearest_before_by_cells_equals_the_plain_way(spark):
+    left = spark.createDataFrame([(k % 2, 37 * k % 101) for k in range(60)], "k int, at int")
+    right = spark.createDataFrame([(k % 2, 13 * k % 97, k) for k in range(25)], "k int, at int, v int")
+    plain = sorted(map(tuple, joins.nearest_before(left, right, ["k"], "at", ["v"]).collect()), key=str)
+    assert plain == sorted(map(tuple, joins.nearest_before(left, right, ["k"], "at", ["v"], width=7).collect()), key=str)
+
+
 def test_by_precedence(spark):
     left = spark.createDataFrame([(1, " "), (2, "own")], "k int, v string")
     side = spark.createDataFrame([(1, "side", "w")], "id int, v string, w string")
