@@ -22,7 +22,7 @@ one by one, so that repeated rows and ids repeat their result. Other columns pas
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,24 +108,25 @@ def _number(digest: Column, k: Column | int, below: Column | int) -> Column:
 def _same_classes(text: Column, digest: Column, hexadecimal: Column) -> Column:
     """`text` with each digit and letter replaced by another of its class. What stands between them doesn't matter."""
 
-    def one(c: Column, at: Column) -> Column:
-        k = F.length(F.regexp_replace(F.substr(text, F.lit(1), at + 1), r"[^\p{L}\p{N}]", ""))
-        # A long text uses the digest's groups again, shifted by how often it has been through.
-        n = _number(digest, k, 65536) + F.floor(k / 32).cast("int") * 7919
+    def pick(of: str, n: Column) -> Column:
+        return F.substr(F.lit(of), (F.pmod(n, F.lit(len(of))) + 1).cast("int"), F.lit(1))
 
-        def pick(of: str) -> Column:
-            return F.substr(F.lit(of), (F.pmod(n, F.lit(len(of))) + 1).cast("int"), F.lit(1))
-
-        digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    def drawn(c: Column, n: Column) -> Column:
+        lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         return (
-            F.when(c.between("0", "9"), pick(digits))
-            .when(hexadecimal & c.between("a", "f"), pick(lower[:6]))
-            .when(hexadecimal & c.between("A", "F"), pick(upper[:6]))
-            .when(c.rlike(r"^\p{Ll}$"), pick(lower))
-            .when(c.rlike(r"^\p{Lu}$"), pick(upper))
+            F.when(c.between("0", "9"), pick("0123456789", n))
+            .when(hexadecimal & c.between("a", "f"), pick(lower[:6], n))
+            .when(hexadecimal & c.between("A", "F"), pick(upper[:6], n))
+            .when(c.rlike(r"^\p{Ll}$"), pick(lower, n))
+            .when(c.rlike(r"^\p{Lu}$"), pick(upper, n))
             .otherwise(c)
         )
 
+    def one(c: Column, at: Column) -> Column:
+        k = F.length(F.regexp_replace(F.substr(text, F.lit(1), at + 1), r"[^\p{L}\p{N}]", ""))
+        # A long text uses the digest's groups again, shifted by how often it has been through.
+        return let(k, lambda k: let(_number(digest, k, 65536) + F.floor(k / 32).cast("int") * 7919, lambda n: drawn(c, n)))
+
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
@@ -154,27 +155,29 @@ def _gender(name: Column) -> Column:
     return found
 
 
-def _pick(options: tuple[str, ...], n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, options)), (F.pmod(n, F.lit(len(options))) + 1).cast("int"))
+def _listed(options: Mapping[str, tuple[str, ...]], of: Column) -> Column:
+    """The options of this name, the first ones if there are none of it."""
+    found = F.array(*map(F.lit, next(iter(options.values()))))
+    for name, values in options.items():
+        found = F.when(of == name, F.array(*map(F.lit, values))).otherwise(found)
+    return found
+
+
+def _pick(options: Column, n: Column) -> Column:
+    return F.element_at(options, (F.pmod(n, F.size(options)) + 1).cast("int"))
 
 
 def _surname(script: Column, digest: Column, variant: Column) -> Column:
-    found = {}
-    for s, syllables in SYLLABLES.items():
-        parts = [_pick(syllables, _number(digest, 8 + k, 65536)) for k in range(4)]
-        more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(variant, F.lit(1))), lambda k: _pick(syllables, _number(digest, 12 + k, 65536))), "")
-        found[s] = F.initcap(F.concat(*parts[:3], F.when(variant > 0, more).otherwise(F.lit(""))))
-    return F.when(script == "cyrillic", found["cyrillic"]).otherwise(found["latin"])
+    """Three syllables, and one more for each draw after the first."""
+    places = F.sequence(F.lit(8), F.lit(10) + variant)
+    return let(_listed(SYLLABLES, script), lambda of: F.initcap(F.array_join(F.transform(places, lambda k: _pick(of, _number(digest, k, 65536))), "")))
 
 
 def _given(script: Column, gender: Column, digest: Column, variant: Column) -> Column:
-    found = F.lit("")
-    for (s, g), names in GIVEN.items():
-        first = _pick(names, _number(digest, 4, 65536))
-        more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(variant, F.lit(1))), lambda k: F.concat(F.lit("-"), _pick(names, _number(digest, 4 + k, 65536)))), "")
-        drawn = F.concat(first, F.when(variant > 0, more).otherwise(F.lit("")))
-        found = F.when((script == s) & (gender == g), drawn).otherwise(found)
-    return found
+    """A name of this script and gender, and one more for each draw after the first."""
+    names = _listed({f"{s}:{g}": values for (s, g), values in GIVEN.items()}, F.concat_ws(":", script, gender))
+    places = F.sequence(F.lit(4), F.lit(4) + variant)
+    return let(names, lambda of: F.array_join(F.transform(places, lambda k: _pick(of, _number(digest, k, 65536))), "-"))
 
 
 def parts_of(entity: Column) -> Column:
@@ -212,36 +215,37 @@ def surrogate(kind: Column, form: Column, variant: Column, key: str = KEY) -> Co
 
 
 def _drawn(kind: Column, form: Column, variant: Column, digest: Column) -> Column:
-    hexadecimal = form.rlike(r"^[0-9a-f]+$") | form.rlike(r"^[0-9A-F]+$")
+    """What stays at the front of the form, and the rest with each character replaced, put together by kind."""
     digits = F.regexp_replace(form, r"\D", "")
     country = F.regexp_extract(form, r"^(\+\d{1,3}(?=[ .(-]))", 1)
-    phone = F.concat(country, _same_classes(F.substr(form, F.length(country) + 1), digest, F.lit(False)))
-    off = F.when(_luhn_sum(digits) == 0, F.lit(0)).otherwise(_number(digest, 31, 9) + 1)
+    front = F.when(kind == "phone", country).when(kind == "iban", F.left(form, F.lit(2))).when(kind == "key", F.left(form, F.lit(4))).when(kind == "card", F.left(digits, F.lit(1))).otherwise(F.lit(""))
+    body = F.when(kind == "card", F.substr(digits, F.lit(2), F.length(digits) - 2)).when(kind == "domain", F.substring_index(form, ".", 1)).otherwise(F.substr(form, F.length(front) + 1))
+    hexadecimal = kind.isin("secret") & (form.rlike(r"^[0-9a-f]+$") | form.rlike(r"^[0-9A-F]+$"))
+    letters = F.translate(F.substr(digest, F.lit(97), F.lit(6)), "0123456789abcdef", "abcdefghijklmnop")
+    split_kind = F.split(kind, ":")
+    script, gender = F.get(split_kind, F.lit(1)), F.get(split_kind, F.lit(2))
+    gender = F.when(gender == "any", F.when(_number(digest, 0, 2) == 0, "male").otherwise("female")).otherwise(gender)
 
     def checked(body: Column) -> Column:
+        off = F.when(_luhn_sum(digits) == 0, F.lit(0)).otherwise(_number(digest, 31, 9) + 1)
         check = F.pmod(F.lit(20) - _luhn_sum(F.concat(body, F.lit("0"))) + off, F.lit(10))
         return let(F.concat(body, check.cast("string")), lambda d: _put_digits(form, d))
 
-    card = let(F.concat(F.substr(digits, F.lit(1), F.lit(1)), _same_classes(F.substr(digits, F.lit(2), F.length(digits) - 2), digest, F.lit(False))), checked)
-    ip = F.concat_ws(".", *(_number(digest, k, 254) + 1 for k in range(4)))
-    iban = F.concat(F.substr(form, F.lit(1), F.lit(2)), _same_classes(F.substr(form, F.lit(3)), digest, F.lit(False)))
-    code = F.concat(F.substr(form, F.lit(1), F.lit(4)), _same_classes(F.substr(form, F.lit(5)), digest, F.lit(False)))
-    split_kind = F.split(kind, ":")
-    script, gender = F.get(split_kind, F.lit(1)), F.get(split_kind, F.lit(2))
-    gender = F.when(gender == "any", F.when(_number(digest, 0, 2) == 0, "male").otherwise("female")).otherwise(gender)
-    domain = F.concat(_same_classes(F.substring_index(form, ".", 1), digest, F.lit(False)), F.lit("."), F.lower(_same_classes(F.lit("aaaaaa"), F.reverse(digest), F.lit(False))), F.lit(".example"))
-    # Short forms have few others of their kind; after some draws they grow.
-    longer = F.when(variant > 4, _same_classes(F.lit("aa00"), F.reverse(digest), F.lit(False))).otherwise(F.lit(""))
+    def together(changed: Column) -> Column:
+        return (
+            F.when(kind == "card", checked(changed))
+            .when(kind == "domain", F.concat_ws(".", changed, letters, F.lit("example")))
+            # Short forms have few others of their kind; after some draws they grow.
+            .when((variant > 4) & kind.isin("local", "secret"), F.concat(changed, letters))
+            .otherwise(changed)
+        )
+
+    other = let(F.concat(front, _same_classes(body, digest, hexadecimal)), together)
     return (
-        F.when(kind.isin("phone", "ssn"), phone)
-        .when(kind == "card", card)
-        .when(kind == "ip", ip)
-        .when(kind == "iban", iban)
-        .when(kind == "key", code)
-        .when(kind == "domain", domain)
+        F.when(kind == "ip", F.concat_ws(".", *(_number(digest, k, 254) + 1 for k in range(4))))
         .when(kind.startswith("given"), _given(script, gender, digest, variant))
         .when(kind.startswith("surname"), _surname(script, digest, variant))
-        .otherwise(F.concat(_same_classes(form, digest, hexadecimal), longer))
+        .otherwise(other)
     )
 
 
