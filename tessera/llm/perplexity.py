@@ -88,8 +88,8 @@ def _ngrams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[
     return place, lengths, [joined[k : k + order] for k in first.tolist()]
 
 
-def _in_chunks(texts: list[str], order: int, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
-    """`_ngrams` of a million characters at a time, each with the place of its first text."""
+def _in_chunks(texts: list[str], order: int, most: int = 400_000) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
+    """`_ngrams` of some characters at a time, each with the place of its first text."""
     at = size = 0
     for k, t in enumerate(texts):
         size += len(t)
