@@ -59,10 +59,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_CHARS) -> Itera
             held.append(batch.slice(a, b - a))
             size += int(offsets[b] - offsets[a])
             if size >= most:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
+                block, held, size = pa.Table.from_batches(held).combine_chunks().to_batches()[0], [], 0
+                yield block
+                del block
+                pa.default_memory_pool().release_unused()
     if size:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    # The worker lives on beside the executor's next tasks: what it has freed goes back.
+    del held
+    pa.default_memory_pool().release_unused()
 
 
 def _ngrams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -211,6 +216,8 @@ def perplexities(rows: DataFrame, scratch: Scratch, order: int = ORDER) -> DataF
                         chars[own[at : at + len(lengths)]] = lengths
                         scores[own[at : at + len(lengths)]] = (sums[stop - lengths] - sums[stop]) / lengths
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(chars.astype(np.int64)), pa.array(scores)], names=["key", "chars", "log_perplexity"])
+                del block, texts, index, logps
+                pa.default_memory_pool().release_unused()
 
     joined = carried.join(replies, "block").select("rows", "gram", "logp0", "logp1")
     return joined.mapInArrow(score, f"key {rows.schema['key'].dataType.simpleString()}, chars long, log_perplexity double")
