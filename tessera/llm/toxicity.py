@@ -5,8 +5,8 @@ categories' probabilities. For training, those probabilities are out of fold: ea
 have not seen it (folds go by a hash of the text, so that copies share one). For scoring they come from models of all
 labelled documents.
 
-Words are lower-case runs of letters; a word counts once a document. The vocabulary has the words of at least a
-share LEAST_SHARE of the labelled documents, VOCABULARY at most, those in most documents; models see at most MOST_LABELLED
+Words are lower-case runs of letters; a word counts once a document. The vocabulary has every word of at least
+LEAST_DOCUMENTS labelled documents, however many there are, so that no language's words crowd out another's; models see at most MOST_LABELLED
 labelled documents, those first by a hash of their id, and of rows with one id the first by a hash of the text. Scoring covers every document's whole text.
 
 Defined results: a null text counts as empty; a text without known words gets the models' base rates. Labels that are
@@ -29,11 +29,10 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import cut_lineage
 
 MOST_LABELLED = 20_000
-LEAST_SHARE = 0.0015
-VOCABULARY = 10_000
+LEAST_DOCUMENTS = 3
 FOLDS = 3
 #: Tasks of a training job.
-TASKS = 4
+TASKS = 1
 #: Strength of the penalty on weights, all of it on their sum, so that few words get one.
 PENALTY = 0.0001
 #: A document is toxic from this probability on.
@@ -60,7 +59,11 @@ class Chain:
 
 
 def _assembled(df: DataFrame, earlier: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=["_counts", *(f"p_{c}" for c in earlier)], outputCol="_features").transform(df)
+    if not earlier:
+        return df.withColumn("_features", F.col("_counts"))
+    found = VectorAssembler(inputCols=["_counts", *(f"p_{c}" for c in earlier)], outputCol="_features").transform(df)
+    # The assembler names every word in the column's metadata, which plans would carry along.
+    return found.withMetadata("_features", {})
 
 
 def _predicted(df: DataFrame, earlier: Sequence[str], model: LogisticRegressionModel | float, name: str) -> DataFrame:
@@ -75,7 +78,7 @@ def _fit(df: DataFrame, category: str, earlier: Sequence[str], penalty: float) -
     told = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(category), F.lit(0)).alias("ones")).first()
     if told["ones"] in (0, told["n"]):
         return float(told["ones"]) / max(told["n"], 1)
-    fit = LogisticRegression(featuresCol="_features", labelCol=category, predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw", regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=30, aggregationDepth=2)
+    fit = LogisticRegression(featuresCol="_features", labelCol=category, predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw", regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=60)
     return fit.fit(_assembled(known, earlier))
 
 
@@ -91,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
     once = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
     rows = rows.withColumn("_once", once).where("_once = 1")
     rows = cut_lineage(rows.select("_hash", F.pmod("_hash", F.lit(folds)).cast("int").alias("_fold"), words(F.col("_text")).alias("words"), *categories))
-    vocabulary = CountVectorizer(inputCol="words", outputCol="_counts", minDF=LEAST_SHARE, vocabSize=VOCABULARY, binary=True)
+    vocabulary = CountVectorizer(inputCol="words", outputCol="_counts", minDF=float(LEAST_DOCUMENTS), vocabSize=2**31 - 1, binary=True)
     if rows.isEmpty():
         return Chain(tuple(categories), CountVectorizerModel.from_vocabulary(["a"], "words", "_counts"), (0.0,) * len(categories))
     try:
@@ -100,8 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
         if "vocabulary size" not in str(e):
             raise
         vocabulary = CountVectorizerModel.from_vocabulary(["a"], "words", "_counts")
-    # Few rows, and a job an iteration: few tasks are quicker than many.
-    rows = cut_lineage(vocabulary.transform(rows).drop("words").repartition(TASKS, "_fold", F.col("_hash")).drop("_hash"))
+    # Few rows, and a job an iteration, each task of which sends a number for every word: few tasks are quicker than many.
+    rows = cut_lineage(vocabulary.transform(rows).drop("words", "_hash").repartition(TASKS))
     models = []
     for k, category in enumerate(categories):
         earlier = categories[:k]

@@ -413,6 +413,14 @@ def test_fingerprints_awkward_rows(spark):
 # 7, toxicity
 
 
+def test_chain_knows_words_of_three_documents_among_many(spark):
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    rows = [(k, " ".join(f"x{letters(100 * (k // 4) + j)}" for j in range(20)) + (" vil" if k in (5, 1500, 2900) else ""), int(k % 10 == 0)) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    known = set(toxicity.fit(docs.drop("toxic"), docs.drop("text"), ("toxic",)).vocabulary.vocabulary)
+    assert "vil" in known and len(known) == 15_001
+
+
 def test_chain_catches_toxic_words(spark):
     rng = random.Random(7)
     rows = []
