@@ -1,7 +1,6 @@
 """Perplexity by an interpolated modified Kneser-Ney n-gram model of trusted text, and a filter on it.
 
-The model's units are characters, ORDER of them at a time, over all languages: no tokenizer decides what a word is, and
-the distinct n-grams stay few however much text there is.
+The model's units are characters, ORDER of them at a time, over all languages: no tokenizer decides what a word is.
 
 Two models are trained, each on the trusted documents of one half; every document is scored by the model of the other
 half, so that no document is judged by a model that has seen it or a copy of it (halves go by a hash of the text).
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import Scratch, cut_lineage
 from tessera.llm.words import chunks, mix, text_buffers
 
-ORDER = 4
+ORDER = 5
 #: Bytes of text of a block, or one longer document.
 BLOCK_CHARS = 14_000_000
 #: Trusted ids that are broadcast at most: 8 bytes each, some 50 MB in memory.

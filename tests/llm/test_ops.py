@@ -550,6 +550,21 @@ def test_perplexity_keeps_clean_and_rejects_junk(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in found.values())
 
 
+def test_perplexity_sees_five_characters(spark):
+    """Each character depends on the fourth before it alone, in junk the other way round: all of its 4-grams are usual."""
+    rng = random.Random(5)
+
+    def bits(flip, n=400):
+        found = [rng.randrange(2) for _ in range(4)]
+        while len(found) < n:
+            found.append(found[-4] ^ flip ^ (rng.random() < 0.05))
+        return "".join("ab"[b] for b in found)
+
+    docs = table(spark, [*(bits(1) for _ in range(150)), *(bits(0) for _ in range(20))], lang=["en"] * 170)
+    found = {r.doc_id: r for r in perplexity.judge(docs, spark.range(100).select(F.col("id").alias("doc_id"))).collect()}
+    assert np.mean([found[k].kept for k in range(150)]) > 0.95 and not any(found[k].kept for k in range(150, 170))
+
+
 def test_perplexity_without_trusted_text_or_rows(spark):
     docs = table(spark, AWKWARD)
     nobody = spark.range(0).select(F.col("id").alias("doc_id"))
