@@ -1,15 +1,17 @@
-"""Document fingerprints: sketches that keep every shingle hash below a fixed fraction of the hash range.
+"""Document fingerprints: sketches that keep every shingle hash below a fixed fraction of the hash range, and the lowest
+LEAST hashes in any case.
 
 A sketch grows with its document, so that two documents of any lengths can be compared: the share of one's kept hashes
 that the other has estimates containment, and Jaccard similarity likewise. The sketch of several documents together is
 the union of theirs (`merge`).
 
 A fingerprint is a string: the number of distinct shingles, a colon, and the kept hashes as 8 hexadecimal digits each, in
-order, being the low 32 bits of the 64-bit hashes (the bits that the fraction does not look at).
+order, being the high 32 bits of the 64-bit hashes. A text of at most LEAST shingles has all of them in its sketch; two
+sketches are compared up to the hash that both reach, on LEAST hashes at least or on all that there are.
 
 Defined results: a null text is empty; a text without words has no shingles and the fingerprint `0:`. A text with fewer
-words than a shingle has one shingle, all its words. The likeness of two fingerprints that keep no hash at all is 1 if
-they are equal, else 0. Equal texts have equal fingerprints; repeated rows repeat them; an empty table gives no rows.
+words than a shingle has one shingle, all its words. The likeness of two texts without shingles is 1, of one
+without and one with shingles 0. Equal texts have equal fingerprints; repeated rows repeat them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from tessera.llm.words import Words, chunks, distinct, text_buffers
 WIDTH = 5
 #: The share of shingle hashes that a sketch keeps.
 FRACTION = 1 / 8
+#: Hashes that a sketch keeps at least, if its text has so many.
+LEAST = 64
+ALL = 2**32 - 1
 #: Bytes of text that share a range of ids in `with_next`.
 RANGE_BYTES = 24_000_000
 MOST_RANGES = 8192
@@ -38,17 +43,23 @@ HELD_CHARS = 2_000_000
 def sketch(data: np.ndarray, offsets: np.ndarray, fraction: float = FRACTION, width: int = WIDTH) -> tuple[np.ndarray, list[np.ndarray]]:
     """For each text the number of its distinct shingles and its kept hashes, sorted, as 32-bit integers."""
     counts, kept = [], []
-    limit = np.uint64(min(int(fraction * 2**64), 2**64 - 1))
+    limit = _limit(fraction)
     for a, b in chunks(offsets):
         rows, h = distinct(*Words(data, offsets[a : b + 1]).shingles(width))
         counts.append(np.bincount(rows, minlength=b - a))
-        keep = h <= limit
-        rows, low = rows[keep], (h[keep] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        rows, low = distinct(rows, low)
-        kept += np.split(low, np.searchsorted(rows, np.arange(1, b - a)))
+        rows, high = distinct(rows, (h >> np.uint64(32)).astype(np.uint32))
+        edges = np.searchsorted(rows, np.arange(b - a))
+        keep = (high <= limit) | (np.arange(len(rows)) - edges[rows] < LEAST)
+        rows, high = rows[keep], high[keep]
+        kept += np.split(high, np.searchsorted(rows, np.arange(1, b - a)))
     return (np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)), kept
 
 
+def _limit(fraction: float) -> int:
+    """The largest hash that the fraction keeps."""
+    return min(max(int(fraction * 2**32) - 1, 0), ALL)
+
+
 def encode(count: int, kept: np.ndarray) -> str:
     return f"{count}:{kept.astype('>u4').tobytes().hex()}"
 
@@ -58,27 +69,43 @@ def decode(fingerprint: str) -> tuple[int, np.ndarray]:
     return int(count), np.frombuffer(bytes.fromhex(kept), dtype=">u4").astype(np.uint32)
 
 
+def _reach(a: tuple[int, np.ndarray], fraction: float) -> int:
+    """The hash up to which a sketch has all of its document's."""
+    return ALL if len(a[1]) >= a[0] else max(_limit(fraction), int(a[1][-1]) if len(a[1]) else 0)
+
+
+def _alike(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], fraction: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Both sketches' hashes as far as both reach, and how far that is."""
+    reach = min(_reach(a, fraction), _reach(b, fraction))
+    return a[1][a[1] <= reach], b[1][b[1] <= reach], reach
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Estimated Jaccard similarity."""
-    if not len(a[1]) and not len(b[1]):
-        return float(a[0] == b[0] and encode(*a) == encode(*b))
-    both = _shared(a[1], b[1])
-    return both / (len(a[1]) + len(b[1]) - both)
+def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], fraction: float = FRACTION) -> float:
+    """Estimated Jaccard similarity; exact where both sketches have all their shingles."""
+    x, y, _ = _alike(a, b, fraction)
+    if not len(x) and not len(y):
+        return float(a[0] == b[0] == 0)
+    both = _shared(x, y)
+    return both / (len(x) + len(y) - both)
 
 
-def containment(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Estimated share of a's shingles that b has; 0 if a keeps none."""
-    return _shared(a[1], b[1]) / len(a[1]) if len(a[1]) else 0.0
+def containment(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], fraction: float = FRACTION) -> float:
+    """Estimated share of a's shingles that b has; 0 if a keeps none as far as b reaches."""
+    x, y, _ = _alike(a, b, fraction)
+    return _shared(x, y) / len(x) if len(x) else 0.0
 
 
 def merge(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], fraction: float = FRACTION) -> tuple[int, np.ndarray]:
-    """The sketch of both documents together; its count is estimated from the hashes that it keeps."""
-    kept = np.union1d(a[1], b[1])
-    return max(a[0], b[0], round(len(kept) / fraction)), kept
+    """The sketch of both documents together, as far as both reach; its count is exact if both have all, else estimated."""
+    x, y, reach = _alike(a, b, fraction)
+    kept = np.union1d(x, y)
+    if reach == ALL:
+        return len(kept), kept
+    return max(a[0], b[0], round(len(kept) * 2**32 / (reach + 1)), len(kept) + 1), kept
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = FRACTION, width: int = WIDTH) -> DataFrame:
@@ -158,8 +185,8 @@ def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 pa.array([hashlib.sha256(own[k].encode()).hexdigest() for k in keep], pa.string()),
                 pa.array([encode(*plain[k]) for k in keep], pa.string()),
                 pa.array([encode(*edited[k]) for k in keep], pa.string()),
-                pa.array([likeness(plain[k], edited[k]) for k in keep], pa.float64()),
-                pa.array([likeness(plain[k], plain[k + 1]) for k in keep], pa.float64()),
+                pa.array([likeness(plain[k], edited[k], fraction) for k in keep], pa.float64()),
+                pa.array([likeness(plain[k], plain[k + 1], fraction) for k in keep], pa.float64()),
             ],
             names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -410,6 +411,31 @@ def test_fingerprints_awkward_rows(spark):
     assert len(by_text[2]) == 1
 
 
+def test_fingerprints_of_short_texts_are_exact(spark):
+    rng = random.Random(66)
+    texts = [prose(k, 1 + k % 30) for k in range(120)]
+    texts += [" ".join([*words_of(t)[:-1], "other"]) if rng.random() < 0.5 else t + " other" for t in texts]
+    docs = table(spark, texts, doc_id=[2 * (k % 120) + k // 120 for k in range(240)])
+    rows = {r.doc_id: r for r in fingerprints.against_edits(docs).collect()}
+    own = [texts[k // 2 + 120 * (k % 2)] for k in range(240)]
+    for k, (text, following) in enumerate(zip(own, [*own[1:], own[0]])):
+        m = len(text) // 2
+        assert rows[k].near_edited == pytest.approx(jaccard(shingles(text), shingles(text[: len(text) - m] + following[:m])))
+        assert rows[k].near_next == pytest.approx(jaccard(shingles(text), shingles(following)))
+    assert len({rows[k].fingerprint for k in range(240)}) == len({frozenset(shingles(t)) for t in own})
+
+
+def test_sketches_of_short_and_long_texts_compare():
+    import pyarrow as pa
+
+    texts = [prose(1, 60), prose(1, 90), prose(1, 400), prose(1, 420), prose(1, 900)]
+    sketches = [(int(n), k) for n, k in zip(*fingerprints.sketch(*words.text_buffers(pa.array(texts))))]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        assert fingerprints.likeness(sketches[a], sketches[b]) == pytest.approx(jaccard(shingles(texts[a]), shingles(texts[b])), abs=0.15)
+        merged = fingerprints.merge(sketches[a], sketches[b])
+        assert merged[0] == pytest.approx(len(shingles(texts[a]) | shingles(texts[b])), rel=0.3)
+
+
 # 7, toxicity
 
 
