@@ -7,7 +7,8 @@
    source in proportion. Slots are ranked within their source; slots past the target are dropped and a source that is
    short gets the rest at the end.
 3. Blocks. A source's documents are shuffled by a keyed hash and laid end to end, lap after lap; block k holds the words
-   from k blocks on. The k-th slot of a source takes its block k.
+   from k blocks on. The k-th slot of a source takes its block k, and a document comes into the mix, in each lap, with
+   the first of its words: the schedule decides how sources alternate.
 
 Ranks and running sums are made in two steps, inside bounded buckets and over the buckets' totals, so that a source with
 a third of all rows is not one task's work.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WORD, cut_lineage, n_words, running_sum
+from tessera.llm.shared import WORD, cut_lineage, free, n_words, running_sum
 
 #: A block is a 2**16th of the mix, within 1 and this many words.
 BLOCK_WORDS = 1024
@@ -88,10 +89,11 @@ def schedule(plan: DataFrame, total: int, block: int) -> DataFrame:
 
 
 def mix(rows: DataFrame, weights: DataFrame | None = None, most_repeats: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken long) for every row of `rows`, as `sized` makes them.
+    """(doc_id, source, size, source_size, target, taken long, slots array<long>) for every row of `rows`, as `sized` makes them.
 
     `weights`: (source, weight > 0), a row for each source; by default `cycle_weights`. `taken`: words the mix takes from
-    the document, repeats counted: whole laps, and part of one document where its source's target ends.
+    the document, repeats counted: whole laps, and part of one document where its source's target ends. `slots`: where
+    it comes into the mix, by lap.
     """
     rows = cut_lineage(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -105,34 +107,39 @@ def mix(rows: DataFrame, weights: DataFrame | None = None, most_repeats: int = 3
     placed = cut_lineage(running_sum(rows, "source", "bucket", [F.col("key"), F.col("size")], F.col("size"), facts))
     laps = placed.where("size > 0").select("source_id", "before", "size", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("lap"))
     start = F.col("lap") * F.col("source_size") + F.col("before")
-    spans = laps.select("source_id", "before", start.alias("start"), F.least(start + F.col("size"), F.round("target").cast("long")).alias("stop")).where("start < stop")
+    spans = laps.select("source_id", "before", "lap", start.alias("start"), F.least(start + F.col("size"), F.round("target").cast("long")).alias("stop")).where("start < stop")
     parts = spans.select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))).alias("k"))
     words = F.least(F.col("stop"), (F.col("k") + 1) * block) - F.greatest(F.col("start"), F.col("k") * block)
-    taken = parts.join(schedule(plan, total, block), ["source_id", "k"]).groupBy("source_id", "before").agg(F.sum(words).alias("taken"))
+    in_lap = [F.min(F.when(F.col("lap") == k, F.col("slot"))) for k in range(most_repeats)]
+    taken = parts.join(schedule(plan, total, block), ["source_id", "k"]).groupBy("source_id", "before").agg(F.sum(words).alias("taken"), F.array_compact(F.array(*in_lap)).alias("slots"))
     found = placed.join(taken, ["source_id", "before"], "left")
-    return found.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+    has = (F.col("size") > 0) & F.col("taken").isNotNull()
+    slots = F.when(has, F.col("slots")).otherwise(F.array().cast("array<bigint>"))
+    return found.select("doc_id", "source", "size", "source_size", "target", F.when(has, F.col("taken")).otherwise(0).cast("long").alias("taken"), slots.alias("slots"))
 
 
 def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """`docs` as often as the mix takes them, whole lap after whole lap.
+    """`docs` as often as the mix takes them, in the order of their slots.
 
-    Where a source's target ends within a document, its last copy has the words up to there, one space apart.
+    Where a source's target ends within a document, its last copy has the words up to there, one space apart. The order
+    is that of the partitions, and of the rows in each.
     """
     given = docs.columns
 
     def name(doc: str, source: str, size: Column) -> Column:
         return F.md5(F.concat_ws("|", F.coalesce(F.col(doc).cast("string"), F.lit("")), F.col(doc).isNull(), F.coalesce(F.col(source).cast("string"), F.lit("")), F.col(source).isNull(), size))
 
-    facts = mixed.select(name("doc_id", "source", F.col("size")).alias("_name"), F.col("taken").alias("_taken"), F.col("size").alias("_size"))
-    rows = docs.withColumn("_row_name", name(id_col, source_col, n_words(F.col(text_col))))
-    same = F.col("_name") == F.col("_row_name")
-    if not facts.groupBy("_name").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # ids repeat: rows with one name by turns
-        facts = facts.withColumn("_turn", F.row_number().over(Window.partitionBy("_name").orderBy("_taken")))
-        rows = rows.withColumn("_row_turn", F.row_number().over(Window.partitionBy("_row_name").orderBy(text_col)))
-        same = same & (F.col("_turn") == F.col("_row_turn"))
-    rows = rows.join(facts.where("_taken > 0"), same)
-    copies = F.ceil(F.col("_taken") / F.col("_size"))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    rest = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
+    fact, row, taken, size, slots, slot, copy, turn, row_turn = (free(docs, c) for c in ("_fact", "_row", "_taken", "_size", "_slots", "_slot", "_copy", "_turn", "_row_turn"))
+    facts = mixed.select(name("doc_id", "source", F.col("size")).alias(fact), F.col("taken").alias(taken), F.col("size").alias(size), F.col("slots").alias(slots))
+    rows = docs.withColumn(row, name(id_col, source_col, n_words(F.col(text_col))))
+    same = F.col(fact) == F.col(row)
+    if not facts.groupBy(fact).agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # ids repeat: rows with one name by turns
+        facts = facts.withColumn(turn, F.row_number().over(Window.partitionBy(fact).orderBy(taken, slots)))
+        rows = rows.withColumn(row_turn, F.row_number().over(Window.partitionBy(row).orderBy(text_col)))
+        same = same & (F.col(turn) == F.col(row_turn))
+    rows = rows.join(facts.where(F.col(taken) > 0), same)
+    rows = rows.select("*", F.posexplode(slots).alias(copy, slot))
+    rest = F.col(taken) - F.col(copy) * F.col(size)
     cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), rest.cast("int")), " ")
-    return rows.withColumn(text_col, F.when(rest < F.col("_size"), cut).otherwise(F.col(text_col))).select(*given)
+    rows = rows.withColumn(text_col, F.when(rest < F.col(size), cut).otherwise(F.col(text_col)))
+    return rows.repartitionByRange(slot).sortWithinPartitions(slot).select(*given)
