@@ -6,6 +6,8 @@ recorded with its place, kind and expanded token count. `format_turns` writes on
 the spans under the loss mask (the assistant's text parts, in code points of the formatted text) and the attachments.
 `read_back` recovers the turns from a formatted text alone.
 
+Text parts that follow each other are one text, so that no control string comes together where they meet.
+
 Escaping: a backslash is doubled, then a backslash goes into each control string after its first character. Texts thus
 never hold a control string, and `unescape` undoes it.
 
@@ -56,7 +58,19 @@ def visit(parts: Column) -> Column:
         piece = F.when(kind == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind, F.lit("|>")))
         return F.struct(kind.alias("kind"), piece.alias("piece"), F.when(kind != "text", p["ref"]).alias("ref"), tokens.alias("tokens"))
 
-    return F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), one)
+    return F.transform(_joined(F.coalesce(parts, F.array().cast(f"array<{PART}>"))), one)
+
+
+def _joined(parts: Column) -> Column:
+    """The parts, each run of text parts as one."""
+
+    def add(done: Column, p: Column) -> Column:
+        last = F.element_at(done, -1)
+        text = F.struct(p["kind"].alias("kind"), F.concat(F.coalesce(last["text"], F.lit("")), F.coalesce(p["text"], F.lit(""))).alias("text"), p["ref"].alias("ref"), p["amount"].alias("amount"))
+        goes_on = (F.size(done) > 0) & F.coalesce((last["kind"] == "text") & (p["kind"] == "text"), F.lit(False))
+        return F.when(goes_on, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(text))).otherwise(F.concat(done, F.array(p)))
+
+    return F.when(F.size(parts) < 2, parts).otherwise(F.aggregate(parts, F.array().cast(f"array<{PART}>"), add))
 
 
 def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", content_col: str = "content", loss_role: str = "assistant") -> DataFrame:
