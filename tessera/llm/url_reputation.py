@@ -3,7 +3,8 @@
 Reputation. Labelled pages count as good or bad by host. The bad rate is shrunk through beta-binomial priors: a suffix
 towards the rate of all pages, a registered domain towards its suffix, a host towards its domain. How strongly is
 estimated from the data, one concentration a level, by the method of moments on how much children differ from their
-parent. A host is blocked if the lower bound of its posterior bad rate, at `confidence`, is above `most_bad`.
+parent. A host is blocked if the lower bound of its posterior bad rate, at `confidence`, is above `most_bad` or, if that is
+less, `times_usual` times the rate of all pages.
 
 Rules. A rule is a host and the beginning of a path; it fits its host and all subdomains. The longest rule that fits
 decides, and overrides the reputation.
@@ -20,7 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import cut_lineage
+
+#: A host is blocked if its bad rate is surely above this, or above so many times the rate of all pages.
 MOST_BAD = 0.5
+TIMES_USUAL = 2.0
 CONFIDENCE = 0.95
 #: Suffixes of two parts under which domains are registered; all others have one part.
 SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.kr", "co.za", "com.cn", "com.mx", "com.tr")
@@ -34,6 +39,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def page_text(html: Column) -> Column:
+    """A page's text as its markup shows it: without scripts, styles, comments and tags, each block on a line of its own."""
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    shown = F.regexp_replace(shown, r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|nav|section|title|body|head)\b[^>]*>", "\n")
+    return F.regexp_replace(shown, r"<[^>]*>", " ")
+
+
 def domain_and_suffix(host: Column) -> tuple[Column, Column]:
     """The registered domain and its public suffix, by the last labels of the name."""
     name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
@@ -79,10 +91,12 @@ def _concentration(children: DataFrame) -> Column:
 
 
 def reputations(labelled: DataFrame, hosts: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
-    """(host, n, bad, rate, bound) for every row of `hosts` (host), by `labelled` (host, bad 0/1 or null)."""
+    """(host, n, bad, rate, bound, usual) for every row of `hosts` (host), by `labelled` (host, bad 0/1 or null); usual: the rate of all."""
     counts = labelled.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     domain, suffix = domain_and_suffix(F.col("host"))
-    levels = hosts.select("host").distinct().join(counts, "host", "left").na.fill(0, ["n", "bad"]).select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix"))
+    levels = hosts.select("host").distinct().join(counts, "host", "left").na.fill(0, ["n", "bad"])
+    # The pages are read once: all that follows is by host.
+    levels = cut_lineage(levels.select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix")))
     overall = levels.agg((F.coalesce(F.sum("bad"), F.lit(0)) + F.lit(0.5)) / (F.coalesce(F.sum("n"), F.lit(0)) + F.lit(1.0))).first()[0]
     parents = None
     for level, parent in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
@@ -99,10 +113,10 @@ def reputations(labelled: DataFrame, hosts: DataFrame, confidence: float = CONFI
         step = 500
         return pd.Series(np.concatenate([beta_quantile(a.to_numpy()[k : k + step], b.to_numpy()[k : k + step], 1 - confidence) for k in range(0, max(len(a), 1), step)] or [np.zeros(0)]))
 
-    return parents.select("host", "n", "bad", "rate", lower("a", "b").alias("bound"))
+    return parents.select("host", "n", "bad", "rate", lower("a", "b").alias("bound"), F.lit(overall).alias("usual"))
 
 
-def judge(urls: DataFrame, rules: DataFrame, labelled: DataFrame | None, id_col: str = "page_id", url_col: str = "url", most_bad: float = MOST_BAD, confidence: float = CONFIDENCE) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, labelled: DataFrame | None, id_col: str = "page_id", url_col: str = "url", most_bad: float = MOST_BAD, times_usual: float = TIMES_USUAL, confidence: float = CONFIDENCE) -> DataFrame:
     """(id, host, path, rule, verdict, bad_rate, bound) for every row of `urls`.
 
     `rules`: (host, path, action), action allow or block. `labelled`: (host, bad). Rules and reputations meet the pages
@@ -111,15 +125,15 @@ def judge(urls: DataFrame, rules: DataFrame, labelled: DataFrame | None, id_col:
     host, path = host_and_path(F.col(url_col))
     pages = urls.select(F.col(id_col), host.alias("host"), path.alias("path"))
     hosts = pages.select("host").distinct()
-    known = reputations(labelled, hosts, confidence) if labelled is not None else hosts.select("host", F.lit(None).cast("double").alias("rate"), F.lit(None).cast("double").alias("bound"))
+    known = reputations(labelled, hosts, confidence) if labelled is not None else hosts.select("host", *(F.lit(None).cast("double").alias(c) for c in ("rate", "bound", "usual")))
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     rules = rules.select(F.col("host").alias("_rule_host"), F.struct(F.length(F.concat("host", "path")).alias("length"), F.concat(F.col("host"), F.col("path")).alias("rule"), F.col("path").alias("begins"), F.col("action").alias("action")).alias("r"))
     fit = hosts.select("host", F.explode(parents).alias("_rule_host")).join(rules, "_rule_host").groupBy("host").agg(F.collect_list("r").alias("rules"))
-    facts = known.join(fit, "host", "left").select(F.col("host").alias("_host"), "rate", "bound", "rules")
+    facts = known.join(fit, "host", "left").select(F.col("host").alias("_host"), "rate", "bound", "usual", "rules")
     found = pages.join(facts, F.col("host") == F.col("_host"), "left")
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["begins"])))
     found = found.withColumn("best", best)
-    blocked = F.coalesce(F.col("bound") > most_bad, F.lit(False))
+    blocked = F.coalesce(F.col("bound") > F.least(F.lit(most_bad), F.lit(times_usual) * F.col("usual")), F.lit(False))
     verdict = F.coalesce(F.col("best.action"), F.when(blocked, "block").otherwise("allow"))
     return found.select(id_col, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), F.col("rate").alias("bad_rate"), "bound")
