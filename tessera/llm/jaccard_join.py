@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut_lineage
+from tessera.llm.shared import cut_lineage, free
 from tessera.llm.words import Words, chunks, distinct, mix, text_buffers
 
 WIDTH = 5
@@ -297,12 +297,13 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
 
     Documents without shingles all stay.
     """
+    keep_id, keep_hash, own_hash, has_words = (free(docs, c) for c in ("_keep", "_keep_hash", "_hash", "_words"))
     keep = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
-    keep = keep.unionByName(found.where("component is null").select("doc_id", "text_hash")).distinct().toDF("_keep", "_keep_hash")
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = hashed.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_keep_hash")), "left_semi")
+    keep = keep.unionByName(found.where("component is null").select("doc_id", "text_hash")).distinct().toDF(keep_id, keep_hash)
+    hashed = docs.withColumn(own_hash, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = hashed.join(keep, F.col(id_col).eqNullSafe(F.col(keep_id)) & (F.col(own_hash) == F.col(keep_hash)), "left_semi")
     repeated = found.where("component is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
-        kept = kept.withColumn("_words", F.rlike(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
-        kept = kept.where("_words").dropDuplicates([id_col, "_hash"]).unionByName(kept.where("not _words")).drop("_words")
-    return kept.drop("_hash")
+        kept = kept.withColumn(has_words, F.rlike(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
+        kept = kept.where(F.col(has_words)).dropDuplicates([id_col, own_hash]).unionByName(kept.where(~F.col(has_words))).drop(has_words)
+    return kept.drop(own_hash)

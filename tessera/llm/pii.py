@@ -27,9 +27,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut_lineage
+from tessera.llm.shared import cut_lineage, free
 
-KEY = "surrogates-v1"
 #: Rounds of drawing again for those that collide. Each leaves a small share of the ones before.
 MOST_ROUNDS = 40
 #: Exceptions that go into the plan as they are; more of them are joined.
@@ -209,7 +208,7 @@ def canonical(kind: Column, form: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(form, r"\D", "")).when(kind.isin("iban"), F.replace(form, F.lit(" "), F.lit(""))).when(kind.isin("secret", "key"), form).otherwise(F.lower(form))
 
 
-def surrogate(kind: Column, form: Column, variant: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, form: Column, variant: Column, key: str) -> Column:
     """The surrogate of one part: its format is that of `form`, its content depends on key, kind, canonical form and variant."""
     return let(_digest(key, kind, canonical(kind, form), variant.cast("string")), lambda digest: _drawn(kind, form, variant, digest))
 
@@ -249,11 +248,12 @@ def _drawn(kind: Column, form: Column, variant: Column, digest: Column) -> Colum
     )
 
 
-def exceptions(entities: DataFrame, key: str = KEY) -> DataFrame | None:
+def exceptions(entities: DataFrame, key: str) -> DataFrame | None:
     """(kind, canon, variant) of the parts whose first surrogate is not theirs alone; None if there are none.
 
     `entities`: (kind, form) of all parts found. Every round, of those that draw the same surrogate the first by
-    canonical form keeps it, unless an earlier round's or an entity of the table has it; the others draw again.
+    canonical form keeps it, unless an earlier round's or an entity of the table has it; the others draw again. If some
+    still collide after MOST_ROUNDS rounds, a name space is too small for its entities, and an error is raised.
     """
     group = F.substring_index("kind", ":", 2)
     parts = entities.select("kind", "form", canonical(F.col("kind"), F.col("form")).alias("canon"), group.alias("space"))
@@ -286,12 +286,15 @@ def _replaced(entity: Column, variants: Column | None, key: str) -> Column:
     return F.array_join(F.transform(parts_of(entity), one), "")
 
 
-def replace(docs: DataFrame, text_col: str = "text", key: str = KEY, checked: bool = True) -> DataFrame:
-    """`docs` with the entities of `text_col` replaced, and `pii_entities`, array<struct<kind, found, by>>, in order.
+def replace(docs: DataFrame, key: str, text_col: str = "text", checked: bool = True) -> DataFrame:
+    """`docs` with the entities of `text_col` replaced and, as the last column, `pii_entities`, array<struct<kind, found, by>>, in order.
+
+    `key`: a secret; who has it can repeat the draws. Where `docs` has a column pii_entities, the new one gets underscores ahead.
 
     `checked`: look for collisions among all entities first, which reads the texts twice.
     """
-    found = docs.withColumn("_entities", detect(F.col(text_col)))
+    listed, by_col, variants_col, entities_col = (free(docs, c) for c in ("_entities", "_by", "_variants", "pii_entities"))
+    found = docs.withColumn(listed, detect(F.col(text_col)))
     variants = None
     if checked:
         parts = docs.select(F.explode(detect(F.col(text_col))).alias("entity")).distinct().select(F.inline(parts_of(F.col("entity"))))
@@ -302,23 +305,23 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY, checked: bo
                 names, numbers = [f"{r['kind']}|{r['canon']}" for r in few], [r["variant"] for r in few]
                 variants = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, numbers)))
             else:
-                found = _with_variants(found, collided)
-                variants = F.col("_variants")
-    by = F.transform("_entities", lambda e: _replaced(e, variants, key))
-    found = found.withColumn("_by", F.when(F.size("_entities") > 0, by).otherwise(F.array().cast("array<string>")))
+                found = _with_variants(found, collided, listed, variants_col)
+                variants = F.col(variants_col)
+    by = F.transform(listed, lambda e: _replaced(e, variants, key))
+    found = found.withColumn(by_col, F.when(F.size(listed) > 0, by).otherwise(F.array().cast("array<string>")))
     between = F.split(F.col(text_col), PATTERN, -1)
-    text = F.array_join(F.zip_with(between, F.col("_by"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    entities = F.zip_with("_entities", "_by", lambda e, b: F.struct(kind_of(e).alias("kind"), e.alias("found"), b.alias("by")))
-    found = found.withColumn("pii_entities", entities)
-    return found.withColumn(text_col, F.when(F.size("_entities") > 0, text).otherwise(F.col(text_col))).drop("_entities", "_by", "_variants")
-
-
-def _with_variants(found: DataFrame, collided: DataFrame) -> DataFrame:
-    """`found` with `_variants`, a map of the exceptions among a row's entities. Rows meet them by their list of entities."""
-    listed = found.where(F.size("_entities") > 0).select("_entities").distinct()
-    parts = listed.select("_entities", F.explode("_entities").alias("entity")).select("_entities", F.inline(parts_of(F.col("entity"))))
-    parts = parts.select("_entities", "kind", canonical(F.col("kind"), F.col("form")).alias("canon")).distinct()
-    maps = parts.join(collided, ["kind", "canon"]).groupBy("_entities").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "variant"))).alias("_variants"))
-    maps = maps.withColumnRenamed("_entities", "_listed")
-    joined = found.where(F.size("_entities") > 0).join(maps, F.col("_entities") == F.col("_listed"), "left").drop("_listed")
-    return joined.unionByName(found.where(F.coalesce(F.size("_entities"), F.lit(0)) <= 0).withColumn("_variants", F.lit(None).cast("map<string,int>")))
+    text = F.array_join(F.zip_with(between, F.col(by_col), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    entities = F.zip_with(listed, by_col, lambda e, b: F.struct(kind_of(e).alias("kind"), e.alias("found"), b.alias("by")))
+    found = found.withColumn(entities_col, entities)
+    return found.withColumn(text_col, F.when(F.size(listed) > 0, text).otherwise(F.col(text_col))).drop(listed, by_col, variants_col)
+
+
+def _with_variants(found: DataFrame, collided: DataFrame, listed: str, variants_col: str) -> DataFrame:
+    """`found` with `variants_col`, a map of the exceptions among a row's entities. Rows meet them by their list of entities."""
+    lists = found.where(F.size(listed) > 0).select(F.col(listed).alias("list")).distinct()
+    parts = lists.select("list", F.explode("list").alias("entity")).select("list", F.inline(parts_of(F.col("entity"))))
+    parts = parts.select("list", "kind", canonical(F.col("kind"), F.col("form")).alias("canon")).distinct()
+    own = free(found, "_list")
+    maps = parts.join(collided, ["kind", "canon"]).groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "variant"))).alias(variants_col)).withColumnRenamed("list", own)
+    joined = found.where(F.size(listed) > 0).join(maps, F.col(listed) == F.col(own), "left").drop(own)
+    return joined.unionByName(found.where(F.coalesce(F.size(listed), F.lit(0)) <= 0).withColumn(variants_col, F.lit(None).cast("map<string,int>")))

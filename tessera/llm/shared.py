@@ -41,10 +41,23 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The key of surrogates, from spark.tessera.surrogates.key; without one, a known key for trials."""
+    return spark.conf.get("spark.tessera.surrogates.key", "known key for trials")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores ahead as no column of `df` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
