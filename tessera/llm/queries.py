@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, fingerprints, jaccard_join, mixing, packing, perplexity, pii, quality_rules, toxicity, url_reputation
-from tessera.llm.shared import table
+from tessera.llm.shared import surrogate_key, table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
     return found.select("doc_id", "text", F.size("pii_entities").cast("long").alias("n_entities"), F.array_join(F.transform("pii_entities", lambda e: e["kind"]), ",").alias("kinds"))
 
 
@@ -22,14 +22,15 @@ def op2_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.sized(table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("slots", F.lit(0)).alias("first_slot"))
 
 
 def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes are the quality labels of the documents that have the pages' ids."""
-    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    """Outcomes are the pages' own: what their markup leaves of them is judged by the quality rules."""
+    pages = table(spark, sf_dir, "pages")
     host, _ = url_reputation.host_and_path(F.col("url"))
-    labelled = pages.select(F.col("page_id").alias("doc_id"), host.alias("host")).join(labels.select("doc_id", (1 - F.col("quality")).alias("bad")), "doc_id").select("host", "bad")
+    texts = pages.select(host.alias("host"), url_reputation.page_text(F.col("html")).alias("text"))
+    labelled = quality_rules.ledger(texts, id_col="host").select("host", quality_rules.rejects("web-v1").cast("int").alias("bad"))
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
     return url_reputation.judge(pages, rules, labelled)
 
@@ -85,13 +86,23 @@ o as (select *, sum(source_size) over ()::bigint as total,
         sum(weight) over () - coalesce(sum(weight) over (order by (3 * source_size)::double / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as weights from w),
 l as (select *, max((total - capped)::double / weights) over () as level from o),
 t as (select source, source_size, least((3 * source_size)::double, weight * level) as target from l),
-p as (select d.*, t.source_size, t.target, coalesce(sum(size) over (partition by d.source order by substr(key, 1, 3), key, size rows between unbounded preceding and 1 preceding), 0)::bigint as before
-      from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
+n as (select *, row_number() over (order by source nulls last) as source_id, (select greatest(1, least(1024, max(total) // 65536)) from l) as block, (select max(total) from l) as words from t),
+g as (select *, sum(target) over (order by source_id rows unbounded preceding) / sum(target) over () as high from n where target > 0),
+e as (select source_id, block, words, coalesce(lag(high) over (order by source_id), 0) as low, case when source_id = max(source_id) over () then 2 else high end as high from g),
+c as (select unnest(range((select max(words + block - 1) // max(block) from n)::bigint)) as slot),
+v as (select slot, sum(((slot >> i) & 1) * pow(2.0, -1 - i)) as point from c, (select unnest(range(48)) as i) group by slot),
+q as (select slot, source_id, row_number() over (partition by source_id order by slot) - 1 as k from v join e on point >= low and point < high),
+m as (select source_id, count(*) as drawn from q group by source_id),
+p as (select d.*, n.source_id, n.source_size, n.target, n.block, coalesce(sum(size) over (partition by d.source order by substr(key, 1, 3), key, size rows between unbounded preceding and 1 preceding), 0)::bigint as before
+      from d join n on d.source is not distinct from n.source),
+f as (select doc_id, size, source_size, target, source_id, block, before,
   (greatest(0, least(round(target)::bigint, before + size) - before)
    + greatest(0, least(round(target)::bigint, source_size + before + size) - source_size - before)
    + greatest(0, least(round(target)::bigint, 2 * source_size + before + size) - 2 * source_size - before))::bigint as taken
-from p
+from p)
+select doc_id, size, source_size, target, taken,
+  case when taken > 0 then coalesce(q.slot, (select count(*) from c) + before // block) end::bigint as first_slot
+from f left join q on q.source_id = f.source_id and q.k = f.before // f.block
 """
 
 _OP9 = rf"""
