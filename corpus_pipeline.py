@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, mixing, packing, perplexity, pii
-from tessera.llm.shared import table
+from tessera.llm.shared import surrogate_key, table
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_length(pii.replace(docs).drop("pii_entities"))
+    return _with_length(pii.replace(docs, surrogate_key(spark)).select(*docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
