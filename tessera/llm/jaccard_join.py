@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import cut_lineage, free
-from tessera.llm.words import Words, chunks, distinct, mix, text_buffers
+from tessera.llm.words import Words, chunks, distinct, give_back, mix, text_buffers
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -82,6 +82,7 @@ def sets(docs: DataFrame, tokens: int, id_col: str = "doc_id", text_col: str = "
                         names[k, has] = np.add.reduceat(mix(h + np.uint64(k + 1)), first)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * tokens, tokens, dtype=np.int32)), pa.array(picks.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), *(pa.array(x.view(np.int64)) for x in names), pa.array(n.astype(np.int64)), lists], names=["doc_id", "text_hash", "a", "b", "n", "picks"])
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, a long, b long, n long, picks array<long>")
@@ -134,6 +135,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             last = key
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    give_back()
 
 
 def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -239,6 +242,7 @@ def links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, text_col: str
                 rows, h = distinct(*Words(data, offsets[i : j + 1]).shingles(width))
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(j - i + 1)).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["cid", "shingles"])
+        give_back()
 
     wanted = hopeful.select("cid").distinct().join(classes.select("cid", "doc", "text_hash"), "cid").select("cid", "doc", F.col("text_hash").alias("_hash"))
     texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"), F.col(text_col).alias("text"))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import cut_lineage, running_sum
+from tessera.llm.words import give_back
 
 SEQUENCE = 4096
 #: Tokens by which lengths are told apart: the padding that this costs is UNIT / 2 a piece.
@@ -38,7 +39,7 @@ END_ID = 2
 #: Pieces that are ranked together.
 BUCKET = 1 << 12
 #: Distinct words whose ids a task keeps at hand, in each of two generations.
-MEMORY = 500_000
+MEMORY = 250_000
 
 _SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>", re.IGNORECASE)
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
@@ -90,6 +91,9 @@ class WordTokenizer:
         found = self.new.get(word)
         return self._word(word) if found is None else found
 
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
+
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if _SPECIAL.search(text) or "Σ" in text:
@@ -128,6 +132,8 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 rows += [(k, at, min(sequence, n - at), zlib.crc32(ids[4 * at : 4 * (at + sequence)]), n) for at in range(0, n, sequence)]
             place, *rest = np.array(rows, dtype=np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), *map(pa.array, rest)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        tokenizer(path or default_tokenizer()).forget()
+        give_back()
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return found.mapInArrow(run, f"doc_id {found.schema['id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import Scratch, cut_lineage, free
-from tessera.llm.words import chunks, mix, sums_by_row, text_buffers
+from tessera.llm.words import chunks, give_back, mix, sums_by_row, text_buffers
 
 ORDER = 5
 #: Bytes of text of a block, or up to a chunk more.
@@ -43,7 +43,7 @@ BLOCK_BYTES = 32_000_000
 #: Bytes of text worked on at a time, also within a longer text.
 CHUNK_BYTES = 500_000
 #: N-grams that are gathered before they are merged with those of the block so far.
-MERGED = 500_000
+MERGED = 200_000
 #: Trusted ids that are broadcast at most: 8 bytes each, some 50 MB in memory.
 BROADCAST_IDS = 2_000_000
 KEEP = 0.998
@@ -108,7 +108,7 @@ class _Distinct:
         first[place[::-1]] = np.arange(len(place))[::-1]
         self.parts.append((keys, windows[first], np.bincount(place, minlength=len(keys))))
         self.size += len(keys)
-        if self.size > MERGED + 2 * len(self.parts[0][0]):
+        if self.size > MERGED + len(self.parts[0][0]):
             self._merge()
 
     def _merge(self) -> None:
@@ -145,8 +145,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
                 number, size = number + 1, 0
     if size:
         yield number, None
-    # The worker lives on beside the executor's next tasks: what it has freed goes back.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _counts(rows: DataFrame, order: int) -> DataFrame:
