@@ -82,7 +82,10 @@ def number(text: Column) -> Column:
 def yes_no(value: Column) -> Column:
     """yes, no, unclear or missing."""
     v = F.lower(F.trim(value.cast("string")))
-    return F.when(is_missing(value), "missing").when(v.isin("yes", "y", "true", "1", "present", "reported", "performed"), "yes").when(v.isin("no", "n", "false", "0", "absent", "none", "not reported", "not performed"), "no").otherwise("unclear")
+    lacking = is_missing(value) | v.isin("none", "null", "nan", "n/a")
+    stated = v.isin("yes", "y", "true", "present", "reported", "performed", "confirmed", "detected", "available") | (v.try_cast("double") != 0)
+    denied = v.isin("no", "n", "false", "absent", "not reported", "not performed", "not detected", "unavailable") | (v.try_cast("double") == 0)
+    return F.when(lacking, "missing").when(F.coalesce(stated, F.lit(False)), "yes").when(F.coalesce(denied, F.lit(False)), "no").otherwise("unclear")
 
 
 def labels(value: Column) -> Column:
@@ -95,7 +98,10 @@ def labels(value: Column) -> Column:
 def doi(value: Column) -> Column:
     """A DOI in lower case without resolver, prefix, brackets and closing punctuation; null if it is none."""
     bare = F.regexp_replace(F.lower(F.trim(value)), r"^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^[<(\[{]+", ""), r"[>)\]}.,;]+$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"^[<(\[{]+", ""), r"[>\]}.,;]+$", "")
+    # A round bracket at the end belongs to the DOI if it was opened there.
+    opened = F.length(bare) - F.length(F.replace(bare, F.lit("("))) < F.length(bare) - F.length(F.replace(bare, F.lit(")")))
+    bare = F.when(opened, F.regexp_replace(bare, r"[).,;]+$", "")).otherwise(bare)
     return F.when(bare.startswith("10."), bare)
 
 

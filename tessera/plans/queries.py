@@ -230,14 +230,15 @@ def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.macro_f1(_pairs(spark, sf_dir), "gold", "predicted", ["0", "1", "2"]).withColumn("macro_f1", F.round("macro_f1", 12))
 
 
-_SETS = "s as (select lang, list_distinct(list_slice(w, 1, 8)) as a, list_distinct(list_slice(w, 5, 12)) as b from (select lang, [x for x in str_split(replace(text, chr(10), ' '), ' ') if x <> ''] as w from documents))"
+_SETS = "s as (select lang, list_distinct(list_filter(w, lambda x, i: i % 2 = 1)) as a, list_distinct(list_filter(w, lambda x, i: i % 2 = 0)) as b from (select lang, [x for x in str_split(replace(text, chr(10), ' '), ' ') if x <> ''] as w from documents))"
 
 
 @query(f"""with {_SETS}, j as (select lang, case when len(a) + len(b) = 0 then 1.0::double else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double end as j from s)
 select lang, count(*)::bigint as n, round(avg(case when j = 1 then 1.0::double else 0 end), 9) as exact_rate, round(avg(j), 9) as mean_jaccard from j group by lang""")
 def multilabel_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other word of each whole text, against the words between."""
     words = F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
-    sets = _t(spark, sf_dir, "documents").select("lang", words.alias("w")).select("lang", F.array_distinct(F.slice("w", 1, 8)).alias("a"), F.array_distinct(F.slice("w", 5, 8)).alias("b"))
+    sets = _t(spark, sf_dir, "documents").select("lang", words.alias("w")).select("lang", *(F.array_distinct(F.filter("w", lambda _, i, k=k: i % 2 == k)).alias(name) for k, name in enumerate("ab")))
     return metrics.multilabel(sets, "a", "b", ["lang"]).withColumns({c: F.round(c, 9) for c in ("exact_rate", "mean_jaccard")})
 
 

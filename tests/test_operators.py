@@ -19,7 +19,7 @@ def test_number(spark, text, expected):
     assert one(spark, T.number(F.col("x")), x=text) == expected
 
 
-@pytest.mark.parametrize(("text", "expected"), [("https://doi.org/10.1/AB.", "10.1/ab"), ("doi: 10.2/x)", "10.2/x"), ("no", None)])
+@pytest.mark.parametrize(("text", "expected"), [("https://doi.org/10.1/AB.", "10.1/ab"), ("doi: 10.2/x)", "10.2/x"), ("10.3/s(96)01.", "10.3/s(96)01"), ("10.3/s(96)", "10.3/s(96)"), ("no", None)])
 def test_doi(spark, text, expected):
     assert one(spark, T.doi(F.col("x")), x=text) == expected
 
@@ -29,7 +29,7 @@ def test_labels(spark, text, expected):
     assert one(spark, T.labels(F.col("x")), x=text) == expected
 
 
-@pytest.mark.parametrize(("text", "expected"), [("Yes", "yes"), (" no ", "no"), ("", "missing"), ("maybe", "unclear")])
+@pytest.mark.parametrize(("text", "expected"), [("Yes", "yes"), (" no ", "no"), ("", "missing"), ("maybe", "unclear"), ("none", "missing"), ("N/A", "missing"), ("confirmed", "yes"), ("2", "yes"), ("0", "no"), ("not detected", "no"), ("unavailable", "no")])
 def test_yes_no(spark, text, expected):
     assert one(spark, T.yes_no(F.col("x")), x=text) == expected
 
@@ -238,3 +238,16 @@ def test_provenance(spark):
     df = spark.createDataFrame([(k, t, s) for k, (t, s, _, _) in enumerate(cases)], "k int, text string, section string")
     found = {r.k: (r.provenance, r.primary_admissible) for r in provenance.infer(df, "text", "section").collect()}
     assert found == {k: (p, ok) for k, (_, _, p, ok) in enumerate(cases)}
+
+
+def test_given_provenance_holds(spark):
+    from tessera.operators import provenance
+
+    df = spark.createDataFrame([("We saw", "Figure Caption"), ("We saw", "hearsay"), ("We saw", None)], "text string, given string")
+    assert [r.provenance for r in provenance.infer(df, "text", given_col="given").collect()] == ["figure_caption", "body", "body"]
+
+
+def test_no_break_spaces_are_spaces(spark):
+    df = spark.createDataFrame([("Faradaic\u00a0efficiency of 12\u00a0%",)], "text string")
+    assert evidence.extract(df, "text").first().faradaic_efficiency_percent == 12.0
+    assert evidence.classify(df, "text").first().text_class == "primary_performance"
