@@ -238,7 +238,7 @@ select lang, count(*)::bigint as n, round(avg(case when j = 1 then 1.0::double e
 def multilabel_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other word of each whole text, against the words between."""
     words = F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
-    sets = _t(spark, sf_dir, "documents").select("lang", words.alias("w")).select("lang", *(F.array_distinct(F.filter("w", lambda _, i, k=k: i % 2 == k)).alias(name) for k, name in enumerate("ab")))
+    sets = _t(spark, sf_dir, "documents").select("lang", words.alias("w")).select("lang", F.array_distinct(F.filter("w", lambda _, i: i % 2 == 0)).alias("a"), F.array_distinct(F.filter("w", lambda _, i: i % 2 == 1)).alias("b"))
     return metrics.multilabel(sets, "a", "b", ["lang"]).withColumns({c: F.round(c, 9) for c in ("exact_rate", "mean_jaccard")})
 
 
