@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.rules import clamp, first_match, weighted
-from tessera.functions.text import present
+from tessera.functions.rules import clamp, first_match, signals, weighted
+from tessera.functions.text import present, yes_no
 
 
 def capped_total(reasons: Column, groups: Mapping[str, str], caps: Mapping[str, float], most: float = 100.0) -> Column:
@@ -69,6 +69,55 @@ def metric_completeness(fields: Mapping[str, Column]) -> Column:
     return clamp(weighted([(present(fields[name]), w) for name, w in METRIC_WEIGHTS]))
 
 
+# What each check, each mark of practical use and each sign of contamination counts.
+VALIDATION_WEIGHTS = {"isotope": 0.35, "isotope_not_applicable": 0.20, "blank": 0.20, "contamination": 0.20, "nox": 0.15, "detection": 0.10}
+GROUNDING = {"high": 1.0, "medium": 0.75, "low": 0.50, "other": 0.65, "short": 0.15, "empty": 0.35, "short_below": 30}
+ENGINEERING_WEIGHTS = {
+    "flow_or_GDE_reactor": 0.20, "HOR_context": 0.10, "energy_efficiency_reported": 0.15, "long_runtime_or_stability": 0.15,
+    "stability_reported": 0.08, "gas_phase_product": 0.10, "product_state_disclosed": 0.10, "current_density_reported": 0.20,
+}
+PENALTY_WEIGHTS = {"class": 0.40, "reassigned": 0.35, "uncertain": 0.20, "no_control": 0.12, "no_screening": 0.08}
+MOST_PENALTY, LONG_RUNTIME_HOURS = 0.60, 10
+
+
+def validation_completeness(isotope: Column, blank: Column, contamination: Column, nox: Column, detection: Column, needs_isotope: Column) -> Column:
+    """Checks that are said to be done (yes, no, ... as `text.yes_no` has them; `detection` any value), added.
+
+    Where no isotope test is needed, one that is not applicable counts in part.
+    """
+    w = VALIDATION_WEIGHTS
+    waived = ~needs_isotope & F.coalesce(F.lower(F.trim(isotope)).isin("not_applicable", "not applicable"), F.lit(False))
+    done = {name: yes_no(c) == "yes" for name, c in (("isotope", isotope), ("blank", blank), ("contamination", contamination), ("nox", nox))}
+    first = F.when(done["isotope"], w["isotope"]).when(waived, w["isotope_not_applicable"]).otherwise(0.0)
+    return clamp(first + weighted([(done["blank"], w["blank"]), (done["contamination"], w["contamination"]), (done["nox"], w["nox"]), (present(detection), w["detection"])]))
+
+
+def source_grounding(text: Column, confidence: Column, usable: Column) -> Column:
+    """By how sure the text's class is, less for a short text and still less for none; 0 if it may not be used at all."""
+    g = GROUNDING
+    sure = F.lower(F.coalesce(confidence, F.lit("")))
+    base = F.when(sure == "high", g["high"]).when(sure == "medium", g["medium"]).when(sure == "low", g["low"]).otherwise(g["other"])
+    n = F.length(F.trim(F.coalesce(text, F.lit(""))))
+    less = F.when(n < g["short_below"], g["short"]).otherwise(0.0) + F.when(n == 0, g["empty"]).otherwise(0.0)
+    return F.when(F.coalesce(usable, F.lit(False)), clamp(base - less)).otherwise(F.lit(0.0))
+
+
+def engineering_flags(marks: Mapping[str, Column], stability_hours: Column) -> Column:
+    """The marks of ENGINEERING_WEIGHTS that hold, in its order; those of stability come from the hours."""
+    long = F.coalesce(stability_hours >= LONG_RUNTIME_HOURS, F.lit(False))
+    by_hours = {"long_runtime_or_stability": long, "stability_reported": ~long & F.coalesce(stability_hours > 0, F.lit(False))}
+    return signals({name: (by_hours | dict(marks))[name] for name in ENGINEERING_WEIGHTS if name in by_hours or name in marks})
+
+
+def engineering_relevance(flags: Column) -> Column:
+    return clamp(weighted([(F.array_contains(flags, name), w) for name, w in ENGINEERING_WEIGHTS.items()]))
+
+
+def contamination_penalty(conditions: Mapping[str, Column]) -> Column:
+    """The weights of PENALTY_WEIGHTS whose condition holds, no more than MOST_PENALTY."""
+    return F.least(F.lit(MOST_PENALTY), weighted([(conditions[name], w) for name, w in PENALTY_WEIGHTS.items() if name in conditions]))
+
+
 def triage_total(metric: Column, validation: Column, source: Column, engineering: Column, penalty: Column) -> Column:
     w = TRIAGE_WEIGHTS
     return clamp(w["metric"] * metric + w["validation"] * validation + w["source"] * source + w["engineering"] * engineering - penalty)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.rules import first_match, keyword_hits, keyword_score, signals
-from tessera.operators import evidence, joins, metrics, provenance, sampling, scoring, segment
+from tessera.operators import evidence, families, joins, metrics, provenance, sampling, scoring, segment
 from tessera.plans.registry import query
 
 #: Stand-ins for a domain's keywords, common in the tables' prose.
@@ -416,3 +416,91 @@ def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The provenance of every document's text."""
     return provenance.infer(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+
+
+#: Neutral stand-ins for families: common words of four languages, with points.
+_FAMILIES = ("english", "german", "french", "spanish")
+_WORDS = (("english", 4, "which"), ("english", 3, "that"), ("german", 4, "nicht"), ("german", 3, "und"), ("french", 4, "pour"), ("french", 3, "les"), ("spanish", 4, "para"), ("spanish", 3, "los"))
+
+def _whole(word: str) -> str:
+    """A whole word in Java's patterns and in SQL's alike: their \\b differ beside letters with accents."""
+    return rf"(^|[^\p{{L}}\p{{N}}_]){word}($|[^\p{{L}}\p{{N}}_])"
+
+
+_EVIDENCE = tuple(families.Evidence(f, points, word, (_whole(word),)) for f, points, word in _WORDS)
+_POINTS = ", ".join(" + ".join(f"(case when regexp_matches(x, '{_whole(w)}') then {p} else 0 end)" for g, p, w in _WORDS if g == f) + f" as {f}" for f in _FAMILIES)
+_RANKED = f"""texts as (select doc_id, source, n_chars, coalesce(text, '') as x from documents), points as (select doc_id, source, n_chars, {_POINTS} from texts),
+long as (unpivot points on {", ".join(_FAMILIES)} into name family value p), places as (select *, case family when 'english' then 1 when 'german' then 2 when 'french' then 3 else 4 end as o from long),
+ranked as (select doc_id, any_value(source) as source, any_value(n_chars) as n_chars, max(p) as top, list(family order by p desc, o)[1] as best, list(p order by p desc, o)[2] as second, sum(p) as evidence from places group by doc_id),
+decided as (select *, case when second >= 6 and top - second <= 3 then 'mixed' when top >= 4 then best else 'unclear' end as family, case when second >= 6 and top - second <= 3 then 'medium' when top >= 6 then 'high' when top >= 4 then 'medium' else 'unclear' end as confidence from ranked)"""
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("x"))
+    scores = families.family_scores([(F.col("x"), 1)], _EVIDENCE, _FAMILIES)
+    scored = docs.select("doc_id", "source", scores.alias("scores"))
+    return scored.withColumn("top", F.array_max(F.transform("scores", lambda s: s["points"]))).select("*", families.decide_family(F.col("scores")).alias("d")).select("doc_id", "source", "top", "d.*")
+
+
+@query(f"with {_RANKED} select doc_id, top::bigint as top, family, confidence, family = 'mixed' as conflict from decided")
+def family_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's family by weighted evidence: clear, likely, mixed or unclear."""
+    return _decided(spark, sf_dir).select("doc_id", F.col("top").cast("long"), "family", "confidence", "conflict")
+
+
+_TOTALS = f"""{_RANKED}, votes as (select source, family, sum(greatest(top, 4) + case when confidence = 'high' then 2 else 0 end) as p, count(*) as n from decided where confidence in ('high', 'medium') and family not in ('mixed', 'unclear') group by all),
+lists as (select source, list(family order by p desc, case family when 'english' then 1 when 'german' then 2 when 'french' then 3 else 4 end) as fs, list(p order by p desc) as ps, sum(n) as votes from votes group by source),
+consensus as (select source, votes, case when ps[1] < 6 then 'unclear' when coalesce(ps[2], 0) >= 6 and ps[1] - ps[2] <= 3 then 'mixed' else fs[1] end as consensus, case when ps[1] < 6 then 'unclear' when coalesce(ps[2], 0) >= 6 and ps[1] - ps[2] <= 3 then 'medium' when ps[1] >= 10 and ps[1] - coalesce(ps[2], 0) >= 4 then 'high' else 'medium' end as consensus_confidence from lists)"""
+
+
+def _source_consensus(decided: DataFrame) -> DataFrame:
+    weight = families.vote_weight(F.lit(""), F.lit(False), F.col("confidence"))
+    return families.family_consensus(decided, "source", "family", "confidence", F.col("top"), weight, _FAMILIES)
+
+
+@query(f"with {_TOTALS} select source, consensus, consensus_confidence, votes::bigint as votes from consensus")
+def family_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The families of each source's documents, weighed against each other."""
+    return _source_consensus(_decided(spark, sf_dir))
+
+
+@query(f"""with {_TOTALS}, j as (select d.*, c.consensus, c.consensus_confidence, coalesce(c.consensus not in ('mixed', 'unclear'), false) as agreed from decided d left join consensus c on d.source = c.source)
+select doc_id, case when agreed and family = 'unclear' and top < 4 then consensus else family end as final_family, case when agreed and family = 'unclear' and top < 4 then case when consensus_confidence = 'high' then 'medium' else 'low' end else confidence end as final_confidence,
+agreed and family = 'unclear' and top < 4 as filled, agreed and family not in ('mixed', 'unclear') and family <> consensus and confidence in ('high', 'medium') as against from j""")
+def family_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's consensus fills its unclear documents and marks those that disagree."""
+    decided = _decided(spark, sf_dir)
+    found = families.with_consensus(decided, _source_consensus(decided), "source", "family", "confidence", F.col("top") < families.LIKELY)
+    return found.select("doc_id", "final_family", "final_confidence", "filled", "against")
+
+
+@query("""with t as (select doc_id, lang, source, coalesce(text, '') as x from documents), g as (select doc_id, coalesce(lower(trim(lang)) = 'yes' or lang = 'en', false) as said, regexp_matches(x, '\\bthe\\b') as shown, regexp_matches(x, '\\b(not|nicht|pas) ') as denied from t)
+select doc_id, (said or shown) and not denied as satisfied, case when said then 'stated' when shown and not denied then 'text' else '' end as source, said and denied as conflict from g""")
+def validation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a check is stated or shown, and not denied, by each document."""
+    stated = F.when(F.col("lang") == "en", "yes").otherwise(F.col("lang"))
+    found = families.gate(F.coalesce("text", F.lit("")), r"\bthe\b", r"\b(not|nicht|pas) ", stated)
+    return _t(spark, sf_dir, "documents").select("doc_id", found.alias("g")).select("doc_id", "g.*")
+
+
+@query("""with s as (select doc_id, coalesce(text, '') as x, lang, coalesce(n_chars, 0) as n from documents), t as (select doc_id,
+least(1, (case when n % 2 = 0 then 0.35 when lang <> 'en' then 0.2 else 0 end + case when n % 3 = 0 then 0.2 else 0 end + case when n % 5 = 0 then 0.2 else 0 end + case when n % 7 = 0 then 0.15 else 0 end + case when lang is not null then 0.1 else 0 end)::double) as validation,
+case when n >= 20 then greatest(0, (case lang when 'en' then 1 when 'de' then 0.75 when 'fr' then 0.5 else 0.65 end - case when length(trim(x, ' ')) < 30 then 0.15 else 0 end - case when length(trim(x, ' ')) = 0 then 0.35 else 0 end)::double) else 0 end as grounding,
+least(1, (case when contains(x, 'the') then 0.2 else 0 end + case when n >= 1000 then 0.15 when n > 0 then 0.08 else 0 end + case when n > 2000 then 0.2 else 0 end)::double) as engineering,
+least(0.6, (case when regexp_matches(x, '[%$&*#]{3}') then 0.4 else 0 end + case when contains(x, 'not') then 0.35 else 0 end + case when n % 2 = 1 then 0.12 else 0 end)::double) as penalty from s)
+select doc_id, round(validation, 6) as validation, round(grounding, 6) as grounding, round(engineering, 6) as engineering, round(penalty, 6) as penalty from t""")
+def triage_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a triage score that come from checks, source, practical use and signs of contamination."""
+    text, n, lang = F.coalesce("text", F.lit("")), F.coalesce("n_chars", F.lit(0)), F.col("lang")
+
+    def yes(k: int):
+        return F.when(n % k == 0, "yes").otherwise("no")
+
+    isotope = F.when(n % 2 == 0, "yes").otherwise("not applicable")
+    parts = {
+        "validation": scoring.validation_completeness(isotope, yes(3), yes(5), yes(7), lang, ~F.coalesce(lang != "en", F.lit(False))),
+        "grounding": scoring.source_grounding(text, F.create_map(*map(F.lit, ("en", "high", "de", "medium", "fr", "low")))[F.coalesce(lang, F.lit(""))], n >= 20),
+        "engineering": scoring.engineering_relevance(scoring.engineering_flags({"flow_or_GDE_reactor": F.contains(text, F.lit("the")), "current_density_reported": n > 2000}, n / 100)),
+        "penalty": scoring.contamination_penalty({"class": text.rlike("[%$&*#]{3}"), "reassigned": F.contains(text, F.lit("not")), "no_control": n % 2 == 1}),
+    }
+    return _t(spark, sf_dir, "documents").select("doc_id", *(F.round(c, 6).alias(name) for name, c in parts.items()))
