@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut_lineage, free
+from tessera.llm.shared import cut_lineage, free, hot_keys, salted_join
 from tessera.llm.words import Words, chunks, distinct, give_back, mix, text_buffers
 
 WIDTH = 5
@@ -95,8 +95,8 @@ def leaves(classes: DataFrame, runs: int) -> DataFrame:
     rows = classes.select("cid", F.inline(start)).withColumn("whole", F.lit(None).cast("long"))
     found = None
     for depth in range(DEPTH + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        rows = cut_lineage(rows.join(sizes, "path"))
+        sizes = cut_lineage(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
+        rows = cut_lineage(salted_join(rows, sizes, "path", [F.col("cid")], hot_keys(sizes, "path", "size")))
         ends = F.lit(True) if depth == DEPTH else (F.col("size") <= SMALL) | F.coalesce(2 * F.col("size") > F.col("whole"), F.lit(False))
         done = rows.where(ends)
         found = done.select("path", "cid", "size") if found is None else found.unionByName(done.select("path", "cid", "size"))

@@ -66,6 +66,24 @@ def n_words(column: Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: A key with more than this share of all rows is hot, and dealt over so many tasks.
+HOT, SALTS = 1 / 256, 64
+
+
+def hot_keys(counts: DataFrame, key: str, count: str) -> list:
+    """The keys with more than HOT of all rows: fewer than 1 / HOT, whatever the input's size."""
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(count) > HOT * total).select(key).collect()]
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, row: list[Column], hot: list, how: str = "inner") -> DataFrame:
+    """`rows` with the one row that `facts` holds for their key. A hot key's rows are dealt by the hash of `row`, and its facts repeated."""
+    part, salt = free(facts, free(rows, "_part")), F.pmod(F.xxhash64(*row), F.lit(SALTS)).cast("int")
+    parts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.withColumn(part, F.when(F.col(key).isin(hot), salt).otherwise(F.lit(0)))
+    return dealt.join(facts.select("*", F.explode(parts).alias(part)), [key, part], how).drop(part)
+
+
 def running_sum(df: DataFrame, by: str, bucket: str, within: list[Column], value: Column, facts: DataFrame | None = None) -> DataFrame:
     """`df` with `before`: the sum of `value` over the rows of the same `by` ahead of this one, buckets first in order, then `within`.
 

@@ -21,14 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut_lineage
+from tessera.llm.shared import cut_lineage, hot_keys, salted_join
 
 #: A host is blocked if its bad rate is surely above this, or above so many times the rate of all pages.
 MOST_BAD = 0.5
 TIMES_USUAL = 2.0
 CONFIDENCE = 0.95
-#: A host with more than this share of all pages is dealt over so many tasks.
-HOT, SALTS = 1 / 256, 64
 #: Suffixes of two parts under which domains are registered; all others have one part.
 SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.kr", "co.za", "com.cn", "com.mx", "com.tr")
 
@@ -118,12 +116,6 @@ def reputations(labelled: DataFrame, hosts: DataFrame, confidence: float = CONFI
     return parents.select("host", "n", "bad", "rate", lower("a", "b").alias("bound"), F.lit(overall).alias("usual"))
 
 
-def _hot_hosts(hosts: DataFrame) -> list[str]:
-    """The hosts with more than HOT of all pages: fewer than 1 / HOT, whatever the input's size."""
-    total = hosts.agg(F.sum("pages")).first()[0] or 0
-    return [r["host"] for r in hosts.where(F.col("pages") > HOT * total).select("host").collect()]
-
-
 def judge(urls: DataFrame, rules: DataFrame, labelled: DataFrame | None, id_col: str = "page_id", url_col: str = "url", most_bad: float = MOST_BAD, times_usual: float = TIMES_USUAL, confidence: float = CONFIDENCE) -> DataFrame:
     """(id, host, path, rule, verdict, bad_rate, bound) for every row of `urls`.
 
@@ -133,18 +125,13 @@ def judge(urls: DataFrame, rules: DataFrame, labelled: DataFrame | None, id_col:
     host, path = host_and_path(F.col(url_col))
     pages = urls.select(F.col(id_col), host.alias("host"), path.alias("path"))
     hosts = cut_lineage(pages.groupBy("host").agg(F.count("*").alias("pages")))
-    hot = _hot_hosts(hosts)
     known = reputations(labelled, hosts, confidence) if labelled is not None else hosts.select("host", *(F.lit(None).cast("double").alias(c) for c in ("rate", "bound", "usual")))
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     rules = rules.select(F.col("host").alias("_rule_host"), F.struct(F.length(F.concat("host", "path")).alias("length"), F.concat(F.col("host"), F.col("path")).alias("rule"), F.col("path").alias("begins"), F.col("action").alias("action")).alias("r"))
     fit = hosts.select("host", F.explode(parents).alias("_rule_host")).join(rules, "_rule_host").groupBy("host").agg(F.collect_list("r").alias("rules"))
-    facts = known.join(fit, "host", "left").select(F.col("host").alias("_host"), "rate", "bound", "usual", "rules")
-    # A hot host's pages are dealt over SALTS tasks, each of which gets that host's row.
-    part = F.when(F.col("host").isin(hot), F.pmod(F.xxhash64(F.col(id_col), F.col("path")), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    parts = F.when(F.col("_host").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    facts = facts.select("*", F.explode(parts).alias("_facts_part"))
-    found = pages.withColumn("_part", part).join(facts, (F.col("host") == F.col("_host")) & (F.col("_part") == F.col("_facts_part")), "left")
+    facts = known.join(fit, "host", "left").select("host", "rate", "bound", "usual", "rules")
+    found = salted_join(pages, facts, "host", [F.col(id_col), F.col("path")], hot_keys(hosts, "host", "pages"), "left")
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["begins"])))
     found = found.withColumn("best", best)
     blocked = F.coalesce(F.col("bound") > F.least(F.lit(most_bad), F.lit(times_usual) * F.col("usual")), F.lit(False))
