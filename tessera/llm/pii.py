@@ -8,7 +8,7 @@ that the same entity gets the same surrogate in every document, on every executo
 - phone, card and account numbers, keys, passwords and tokens: each character by one of its own class (digit, lower- or
   upper-case letter, and within hexadecimal strings a hexadecimal one); country codes, separators and prefixes stay, a
   card keeps its first digit and whether its check digit holds;
-- network addresses: octets within 1 to 254;
+- network addresses: octets within 1 to 254, or hexadecimal characters by others;
 - names behind a title or a known given name: given names by given names of the same gender and script, surnames by
   surnames of the same script, so that "Mr Smith" and "John Smith" stay one person.
 
@@ -41,8 +41,8 @@ TITLES = {
     "any": ("Dr", "Prof"),
 }
 GIVEN = {
-    ("latin", "male"): ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Carlos", "Pierre", "Hans", "Peter", "Paul", "Lukas", "Javier", "Antoine", "Stefan"),
-    ("latin", "female"): ("Mary", "Patricia", "Linda", "Barbara", "Elizabeth", "Susan", "Sarah", "Karen", "Maria", "Claire", "Sophie", "Anna", "Julia", "Carmen", "Lucia", "Ingrid"),
+    ("latin", "male"): ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Carlos", "Pierre", "Hans", "Peter", "Paul", "Lukas", "Javier", "Antoine", "Stefan", "Daniel", "Henry", "George", "Luis", "Miguel", "Nicolas", "Klaus", "Felix"),
+    ("latin", "female"): ("Mary", "Patricia", "Linda", "Barbara", "Elizabeth", "Susan", "Sarah", "Karen", "Maria", "Claire", "Sophie", "Anna", "Julia", "Carmen", "Lucia", "Ingrid", "Emma", "Olivia", "Laura", "Marie", "Hannah", "Sabine", "Camille", "Priya"),
     ("cyrillic", "male"): ("Иван", "Пётр", "Сергей", "Андрей", "Дмитрий", "Николай", "Олег", "Виктор"),
     ("cyrillic", "female"): ("Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина", "Вера", "Нина"),
 }
@@ -56,6 +56,7 @@ _TITLE = "|".join(sorted({t for group in TITLES.values() for t in group}, key=le
 _GIVEN = "|".join(sorted({n for group in GIVEN.values() for n in group}, key=len, reverse=True))
 _FIRST = "".join(sorted({n[0] for group in (*TITLES.values(), *GIVEN.values()) for n in group}))
 _SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
 #: Kind and pattern; the first that fits at a place wins. Each begins with a look at one character, so that most places cost no more.
@@ -66,6 +67,9 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("iban", r"(?=[A-Z])\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}\b"),
     ("phone", r"\(\d{3}\) ?\d{3}-\d{4}\b"),
+    # Without a country code, as written in French and Spanish, and in German and English.
+    ("phone", r"(?=[0679])(?<![\d.,:/-])(?<!\d )(?:0[1-9](?:[ .-]\d\d){4}|[679]\d\d(?: \d\d){3}|0\d{2,4}(?:[ /-]\d{6,8}|[ -]\d{3,4}[ -]\d{3,4}))(?![ .:/-]?\d)"),
+    ("ip6", rf"(?=[0-9A-Fa-f])(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f]{{0,3}}\d)[0-9A-Fa-f]{{3,4}}:(?:{_HEX}:){{0,5}}(?::{_HEX}){{1,6}})(?![\w:])"),
     ("ip", rf"(?=\d)\b(?:{_BYTE}\.){{3}}{_BYTE}\b"),
     ("ssn", r"(?=\d)\b\d{3}-\d{2}-\d{4}\b"),
     ("phone", r"(?=\d)\b\d{3}[ .-]\d{3}[ .-]\d{4}\b"),
@@ -219,7 +223,7 @@ def _drawn(kind: Column, form: Column, variant: Column, digest: Column) -> Colum
     country = F.regexp_extract(form, r"^(\+\d{1,3}(?=[ .(-]))", 1)
     front = F.when(kind == "phone", country).when(kind == "iban", F.left(form, F.lit(2))).when(kind == "key", F.left(form, F.lit(4))).when(kind == "card", F.left(digits, F.lit(1))).otherwise(F.lit(""))
     body = F.when(kind == "card", F.substr(digits, F.lit(2), F.length(digits) - 2)).when(kind == "domain", F.substring_index(form, ".", 1)).otherwise(F.substr(form, F.length(front) + 1))
-    hexadecimal = kind.isin("secret") & (form.rlike(r"^[0-9a-f]+$") | form.rlike(r"^[0-9A-F]+$"))
+    hexadecimal = (kind == "ip6") | (kind == "secret") & (form.rlike(r"^[0-9a-f]+$") | form.rlike(r"^[0-9A-F]+$"))
     letters = F.translate(F.substr(digest, F.lit(97), F.lit(6)), "0123456789abcdef", "abcdefghijklmnop")
     split_kind = F.split(kind, ":")
     script, gender = F.get(split_kind, F.lit(1)), F.get(split_kind, F.lit(2))

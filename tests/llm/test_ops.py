@@ -108,6 +108,19 @@ def test_surrogates_keep_format_gender_and_script(spark):
     assert re.fullmatch(r"Господин [А-Яа-я]+ [А-Яа-я]+", ivan)
 
 
+def test_surrogates_of_national_phones_and_long_addresses(spark):
+    told = {"01 23 45 67 89": "phone", "01.23.45.67.89": "phone", "030 1234567": "phone", "020 7946 0958": "phone", "0711/123456": "phone", "612 34 56 78": "phone"}
+    told |= {"2001:db8::1": "ip6", "fe80::1ff:fe23:4567:890a": "ip6", "2001:0db8:85a3:0000:0000:8a2e:0370:7334": "ip6", "192.0.2.7": "ip", "Emma Wilson": "person"}
+    docs = table(spark, [f"Reach {x}, or not." for x in told])
+    for e, (form, kind) in zip([r.pii_entities for r in pii.replace(docs, "a key").orderBy("doc_id").collect()], told.items(), strict=True):
+        assert [(x.kind, x.found) for x in e] == [(kind, form)]
+        assert e[0].by != form
+        assert kind not in ("phone", "ip6") or re.sub(r"[0-9a-f]", "0", e[0].by) == re.sub(r"[0-9a-f]", "0", form)
+    clean = ["At 12:30:45 on 01.02.2024, room 0123.", "std::vector, dead::beef and a::b", "01 23 45 67 89 10 11", "0123-4567-8901-2345 is a card", "912 345 678 people", "ratio 0.12 345678"]
+    found = [r.pii_entities for r in pii.replace(table(spark, clean), "a key").orderBy("doc_id").collect()]
+    assert [[x.kind for x in e] for e in found] == [[], [], [], ["card"], [], []]
+
+
 def test_surrogates_collide_with_nobody(spark):
     few = [f"{c}@{d}.example.com" for c in "abcdefghijklmnopqrstuvwxyz" for d in ("x", "y")]
     found = pii.replace(table(spark, few), "a key").select(F.explode("pii_entities").alias("e")).select("e.*").collect()
