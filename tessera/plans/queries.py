@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.rules import first_match, keyword_hits, keyword_score, signals
-from tessera.operators import evidence, families, joins, metrics, provenance, sampling, scoring, segment
+from tessera.operators import evidence, families, joins, metrics, provenance, risk, sampling, scoring, segment
 from tessera.plans.registry import query
 
 #: Stand-ins for a domain's keywords, common in the tables' prose.
@@ -333,6 +333,22 @@ def capped_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("tier", scoring.risk_tier(F.col("score")))
 
 
+@query(r"""with d as (select doc_id, regexp_matches(text, '[0-9]') as g, regexp_matches(text, '[A-Z]{4}') as f, n_chars > 2000 as weak, lang, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) < 80 as short from documents),
+w as (select doc_id, case when g then 24 else 0 end as w1, case when not f then 0 when g then 6 else 24 end as w2, case when weak then 15 else 0 end as w3,
+case when lang = 'de' then (case when weak then 10 else 20 end) when lang = 'fr' then (case when weak then 10 else 15 end) else 0 end as w4, case when short then 15 else 0 end as w5, lang from d),
+r as (select doc_id, w1 + w2 + w3 + w4 + w5 as score, concat_ws(' ', case when w1 > 0 then 'document_genre_conflict:' || w1 end, case when w2 > 0 then 'document_family_conflict:' || w2 end, case when w3 > 0 then 'document_non_primary_or_unclear_genre:' || w3 end,
+case when w4 > 0 and lang = 'de' then 'document_unclear_or_mixed_family:' || w4 when w4 > 0 then 'document_off_target_family:' || w4 end, case when w5 > 0 then 'document_front_matter_scope_insufficient:' || w5 end) as reasons from w)
+select doc_id, score::int as risk_score, case when score >= 70 then 'T3' when score >= 40 then 'T2' when score >= 20 then 'T1' else 'T0' end as risk_tier, reasons from r""")
+def document_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' risk by rules on conflicts, genre, family and length, with what each reason adds under its group's cap."""
+    docs = _t(spark, sf_dir, "documents")
+    conflicts = F.array_compact(F.array(F.when(F.col("text").rlike("[0-9]"), "genre"), F.when(F.col("text").rlike("[A-Z]{4}"), "family")))
+    family = F.when(F.col("lang") == "de", "mixed").when(F.col("lang") == "fr", "norr")
+    rows = docs.select("doc_id", conflicts.alias("document_conflicts"), F.when(F.col("n_chars") > 2000, "review").alias("document_genre"), family.alias("document_reaction_family"), F.col("text").alias("front_matter_excerpt"))
+    reasons = F.array_join(F.transform("risk_reasons", lambda r: F.concat_ws(":", r["code"], r["weight"].cast("string"))), " ")
+    return risk.with_risk(rows, "document").select("doc_id", "risk_score", "risk_tier", reasons.alias("reasons"))
+
+
 @query("""with p as (select lang, source, case when n_chars > 4000 then 6 when n_chars > 500 then 4 else 1 end as points from documents), t as (select source, lang, sum(points) as points from p group by 1, 2),
 r as (select source, lang, points, row_number() over (partition by source order by points desc, lang) as k from t), w as (select source, max(points) filter (k = 1) as top, coalesce(max(points) filter (k = 2), 0) as second, max(lang) filter (k = 1) as lang from r group by 1),
 c as (select source, top, second, case when top < 6 then 'unclear' when second >= 6 and top - second <= 3 then 'mixed' else lang end as consensus from w)
