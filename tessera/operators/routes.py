@@ -29,19 +29,24 @@ def available(profile: DataFrame, key: str = "capability", value: str = "value")
     return profile.where(yes).select(F.col(key).alias("capability")).distinct()
 
 
-def feasibility(needs: DataFrame, profile: DataFrame, route: str, item: str, option: str = "option", capability: str = "capability") -> DataFrame:
+def feasibility(needs: DataFrame, profile: DataFrame, route: str, item: str, option: str = "option", capability: str = "capability", mandatory: str | None = None) -> DataFrame:
     """(route, feasible, infeasible, missing, status) from needs (route, item, option, capability).
 
     An item is feasible if one of its options has all its capabilities; else its least lacking option tells what is missing.
+    With `mandatory`, a column of needs, a route that lacks a mandatory item is infeasible and one that lacks others only is
+    partial; a null counts as mandatory. Without it, a route is partial as long as it has any item.
     """
+    must = F.coalesce(F.col(mandatory).cast("boolean"), F.lit(True)) if mandatory else F.lit(False)
+    needs = needs.withColumn("_must", must)
     have = available(profile).withColumn("_has", F.lit(1))
     options = needs.join(have.withColumnRenamed("capability", capability), capability, "left").groupBy(route, item, option)
-    options = options.agg(F.sort_array(F.collect_set(F.when(F.col("_has").isNull(), F.col(capability)))).alias("lacking"))
-    best = options.groupBy(route, item).agg(F.min(F.struct(F.size("lacking").alias("n"), F.col(option), F.col("lacking"))).alias("best"))
+    options = options.agg(F.sort_array(F.collect_set(F.when(F.col("_has").isNull(), F.col(capability)))).alias("lacking"), F.max("_must").alias("_must"))
+    best = options.groupBy(route, item).agg(F.min(F.struct(F.size("lacking").alias("n"), F.col(option), F.col("lacking"))).alias("best"), F.max("_must").alias("_must"))
     names = lambda c: F.sort_array(F.collect_set(F.when(c, F.col(item))))
-    found = best.groupBy(route).agg(names(F.col("best.n") == 0).alias("feasible"), names(F.col("best.n") > 0).alias("infeasible"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("best.lacking")))).alias("missing"))
-    status = first_match([("feasible", F.size("infeasible") == 0), ("infeasible", F.size("feasible") == 0)], "partial")
-    return found.withColumn("status", status)
+    found = best.groupBy(route).agg(names(F.col("best.n") == 0).alias("feasible"), names(F.col("best.n") > 0).alias("infeasible"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("best.lacking")))).alias("missing"), F.max(F.col("_must") & (F.col("best.n") > 0)).alias("_stops"))
+    stops = F.col("_stops") if mandatory else F.size("feasible") == 0
+    status = first_match([("feasible", F.size("infeasible") == 0), ("infeasible", stops)], "partial")
+    return found.withColumn("status", status).drop("_stops")
 
 
 def replicates(routes: DataFrame, matrix: str, count: Column) -> DataFrame:

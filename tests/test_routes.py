@@ -45,6 +45,15 @@ def test_feasibility(spark):
     assert found["q"].status == "feasible"
 
 
+def test_feasibility_by_mandatory_items(spark):
+    profile = spark.createDataFrame([("nmr", "yes")], "capability string, value string")
+    rows = [("a", "isotope", 1, "nmr", True), ("a", "nox", 1, "ic", True), ("b", "isotope", 1, "nmr", True), ("b", "nox", 1, "ic", False), ("c", "isotope", 1, "nmr", True), ("d", "nox", 1, "ic", False), ("e", "nox", 1, "ic", None)]
+    needs = spark.createDataFrame(rows, "route string, item string, option int, capability string, must boolean")
+    found = {r.route: r.status for r in routes.feasibility(needs, profile, "route", "item", mandatory="must").collect()}
+    assert found == {"a": "infeasible", "b": "partial", "c": "feasible", "d": "partial", "e": "infeasible"}
+    assert routes.feasibility(needs.limit(0), profile, "route", "item", mandatory="must").count() == 0
+
+
 def test_replicates_gates_and_order(spark):
     df = spark.createDataFrame([("a", ["x", "y"], [], "ready", 1, 5.0), ("b", None, ["a", "z"], "late", 0, 9.0)], "route string, m array<string>, needs array<string>, status string, stage int, score double")
     rows = routes.replicates(df, "m", F.lit(3)).collect()
