@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.rules import first_match, keyword_hits, keyword_score, signals
-from tessera.operators import evidence, families, joins, metrics, provenance, risk, sampling, scoring, segment
+from tessera.operators import burdens, evidence, families, joins, metrics, provenance, risk, sampling, scoring, segment
 from tessera.plans.registry import query
 
 #: Stand-ins for a domain's keywords, common in the tables' prose.
@@ -349,6 +351,26 @@ def document_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.with_risk(rows, "document").select("doc_id", "risk_score", "risk_tier", reasons.alias("reasons"))
 
 
+def _burdens_sql() -> str:
+    """The burdens of trusted texts of no family, by the same fixed values."""
+    def any_of(parts: Sequence[str]) -> str:
+        return "(" + " or ".join(f"contains(t, '{p}')" for p in parts) + ")"
+
+    hints = ", ".join(f"case when {any_of(parts)} then '{name}' end" for name, parts in burdens.HINTS.items())
+    lacking = " or ".join(f"not {any_of(parts)}" for parts in burdens.METRICS.values())
+    matrix = rf"case when regexp_matches(t, '\b(?:faradaic efficiency|fe)\b') and (contains(t, '%') or contains(t, 'percent')) and ({lacking}) then '{burdens.MATRIX}' end"
+    return rf"""with d as (select doc_id, lower(trim(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '\s+', ' ', 'g'))) as t from documents),
+b as (select doc_id, concat_ws(' ', {hints}, {matrix}) as b from d)
+select doc_id, b as burdens, case when b = '' then 'low' when len(string_split(b, ' ')) >= 3 or (contains(b, '{burdens.CONTAMINATION}') and contains(b, '{burdens.MATRIX}')) then 'high' else 'medium' end as severity from b"""
+
+
+@query(_burdens_sql())
+def document_burdens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The burdens that documents' whole texts hint at, and how grave they are."""
+    found = burdens.with_burdens(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return found.select("doc_id", F.array_join("burdens", " ").alias("burdens"), "severity")
+
+
 @query("""with p as (select lang, source, case when n_chars > 4000 then 6 when n_chars > 500 then 4 else 1 end as points from documents), t as (select source, lang, sum(points) as points from p group by 1, 2),
 r as (select source, lang, points, row_number() over (partition by source order by points desc, lang) as k from t), w as (select source, max(points) filter (k = 1) as top, coalesce(max(points) filter (k = 2), 0) as second, max(lang) filter (k = 1) as lang from r group by 1),
 c as (select source, top, second, case when top < 6 then 'unclear' when second >= 6 and top - second <= 3 then 'mixed' else lang end as consensus from w)
