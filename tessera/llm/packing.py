@@ -160,6 +160,20 @@ def _best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple
     return best[capacity], pattern
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination, a row at a time: the basis has some hundred rows, and threads of a linear algebra library are of no use beside the JVM."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0
+        both -= factors[:, None] * both[k]
+    return both[:, n:]
+
+
 def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4) -> list[tuple[np.ndarray, int]]:
     """Patterns with how often each is used, so that every size (ascending, in units) is cut exactly as often as demanded.
 
@@ -181,7 +195,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
         out = int(np.argmin(ratios))
         basis[:, out] = pattern
         if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
         else:
             row = inverse[out] / d[out]
             inverse -= np.outer(d, row)
@@ -191,6 +205,8 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
     left = demand - (basis.astype(np.int64) @ used)
     while (left < 0).any():  # only rounding in the arithmetic gets here
         k = int(np.argmax((basis[np.argmin(left)] > 0) * used))
+        if not used[k] or not basis[np.argmin(left), k]:
+            raise ArithmeticError("no used pattern holds a size that is cut too often")
         used[k] -= 1
         left = demand - (basis.astype(np.int64) @ used)
     found = [(basis[:, k].astype(np.int64), int(used[k])) for k in range(m) if used[k]]

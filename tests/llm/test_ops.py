@@ -686,3 +686,16 @@ def test_perplexity_by_the_joined_way(spark):
     finally:
         perplexity.BROADCAST_IDS = bound
     assert first == second
+
+
+def test_a_plan_over_250_sizes_ends_beside_the_jvm(spark):
+    assert spark.range(1).count() == 1
+    rng = random.Random(3)
+    sizes = np.arange(1, 251, dtype=np.int64)
+    demand = np.array([rng.randint(1, 60) for _ in sizes], dtype=np.int64)
+    patterns = packing.cutting_stock(sizes, demand, 256)
+    cut = sum(p * times for p, times in patterns)
+    assert (cut == demand).all() and all(p @ sizes <= 256 for p, _ in patterns)
+    assert sum(times for _, times in patterns) <= 1.02 * (sizes @ demand) / 256 + 1
+    matrix = np.array([[0.0, 2.0, 1.0], [1.0, 0.0, 0.0], [3.0, 1.0, 4.0]])
+    assert np.allclose(packing._inverse(matrix) @ matrix, np.eye(3))
