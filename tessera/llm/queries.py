@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, jaccard_join, mixing, packing, perplexity, pii, quality_rules, toxicity, url_reputation
+from tessera.llm import chat, fingerprints, jaccard_join, mixing, packing, perplexity, pii, quality_rules, toxicity, url_reputation, whitening
 from tessera.llm.shared import surrogate_key, table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -73,7 +73,11 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "chars", "perplexity", "threshold", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_cutting_stock, op3_source_schedule, op4_host_reputation, op5_chosen_path, op6_scaled_sketch, op7_classifier_chain, op8_typed_parts, op9_rule_ledger, op10_kneser_ney)}
+def op13_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_cutting_stock, op3_source_schedule, op4_host_reputation, op5_chosen_path, op6_scaled_sketch, op7_classifier_chain, op8_typed_parts, op9_rule_ledger, op10_kneser_ney, op13_tiled_whitening)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

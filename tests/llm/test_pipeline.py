@@ -91,7 +91,7 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, con.sql(queries.ORACLES[name]).project(", ".join(columns)).fetchall()))
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+@pytest.mark.parametrize("name", sorted(n for n in set(queries.QUERIES) - set(queries.ORACLES) if not n.startswith(("op11_", "op13_"))))
 def test_query_gives_a_row_for_each_row(spark, name):
     table = "pages" if name.startswith("op4") else "documents"
     rows = queries.QUERIES[name](spark, SF)
@@ -100,4 +100,4 @@ def test_query_gives_a_row_for_each_row(spark, name):
 
 
 def test_registered_names():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == [*range(1, 11), 13]
