@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, jaccard_join, mixing, packing, perplexity, pii, quality_rules, toxicity, url_reputation, whitening
+from tessera.llm import chat, fingerprints, jaccard_join, minhash, mixing, packing, perplexity, pii, quality_rules, toxicity, url_reputation, whitening
 from tessera.llm.shared import surrogate_key, table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -73,11 +73,15 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "chars", "perplexity", "threshold", "kept")
 
 
+def op12_densified_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op13_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_cutting_stock, op3_source_schedule, op4_host_reputation, op5_chosen_path, op6_scaled_sketch, op7_classifier_chain, op8_typed_parts, op9_rule_ledger, op10_kneser_ney, op13_tiled_whitening)}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_cutting_stock, op3_source_schedule, op4_host_reputation, op5_chosen_path, op6_scaled_sketch, op7_classifier_chain, op8_typed_parts, op9_rule_ledger, op10_kneser_ney, op12_densified_minhash, op13_tiled_whitening)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -140,4 +144,17 @@ g as (select conv_id, count(*)::bigint as n_turns, string_agg(concat(role, chr(1
 select conv_id, n_turns, sha256(told) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g
 """
 
-ORACLES = {"op3_source_schedule": _OP3, "op9_rule_ledger": _OP9, "op8_typed_parts": _OP8}
+_OP12 = r"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct r, case when len(ws) > 1 then ws[i] || ' ' || ws[i + 1] else ws[i] end as shingle
+      from (select r, ws, unnest(range(1, greatest(len(ws), 2))) as i from d where len(ws) > 0)),
+n as (select r, count(*) as n from s group by r),
+c as (select a.r as r, b.r as q, count(*) as common from s a join s b on a.shingle = b.shingle and a.r < b.r group by all),
+l as (select c.r, c.q from c join n x on x.r = c.r join n y on y.r = c.q where 100 * common >= 80 * (x.n + y.n - common)),
+e as (select r, q from l union all select q, r from l),
+m as (select r, r as q from d union select m.r, e.q from m join e on e.r = m.q),
+k as (select m.r, min(d.doc_id) as component_id from m join d on d.r = m.q group by m.r)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id is not distinct from component_id as kept from d join k using (r) left join n using (r)
+"""
+
+ORACLES = {"op3_source_schedule": _OP3, "op9_rule_ledger": _OP9, "op8_typed_parts": _OP8, "op12_densified_minhash": _OP12}
