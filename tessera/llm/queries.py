@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, jaccard_join, minhash, mixing, packing, perplexity, pii, quality_rules, toxicity, url_reputation, whitening
+from tessera.llm import chat, fingerprints, jaccard_join, minhash, mixing, packing, perplexity, pii, quality_rules, structure_repair, toxicity, url_reputation, whitening
 from tessera.llm.shared import surrogate_key, table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -73,6 +73,23 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "chars", "perplexity", "threshold", "kept")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """`rows` of conversations, of which one in 20 each are dropped, emptied, stripped of sentence ends, repeated or given to the user."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(said("text"), ".!?", "")).otherwise(said("text"))
+    copies = F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.where(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op11_tight_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    summary, _ = structure_repair.repair(damaged(rows))
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    found = rows.select(F.col("conv_id").alias("_id")).distinct().join(summary, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
+    return found.select(F.col("_id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_densified_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"))
 
@@ -81,7 +98,7 @@ def op13_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_cutting_stock, op3_source_schedule, op4_host_reputation, op5_chosen_path, op6_scaled_sketch, op7_classifier_chain, op8_typed_parts, op9_rule_ledger, op10_kneser_ney, op12_densified_minhash, op13_tiled_whitening)}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_cutting_stock, op3_source_schedule, op4_host_reputation, op5_chosen_path, op6_scaled_sketch, op7_classifier_chain, op8_typed_parts, op9_rule_ledger, op10_kneser_ney, op11_tight_arcs, op12_densified_minhash, op13_tiled_whitening)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -157,4 +174,37 @@ k as (select m.r, min(d.doc_id) as component_id from m join d on d.r = m.q group
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id is not distinct from component_id as kept from d join k using (r) left join n using (r)
 """
 
-ORACLES = {"op3_source_schedule": _OP3, "op9_rule_ledger": _OP9, "op8_typed_parts": _OP8, "op12_densified_minhash": _OP12}
+_TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+# From the last row to the first, the cheapest edits from each state on, and of these the first by their letters.
+_OP11 = f"""
+with recursive table_crc as (select list(list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i) order by i) as t from (select unnest(range(256)) as i)),
+k as (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key, coalesce(role, ' ') as r0, coalesce(text, ' ') as t0 from conversations),
+c as (select *, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 as kind from k, table_crc),
+g as (select conv_id, turn, case when kind = 4 then 'user' else r0 end as role, case kind when 1 then '' when 2 then translate(t0, '.!?', '') else t0 end as text, unnest(range(case when kind = 3 then 2 else 1 end)) from c where kind != 0),
+o as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, count(*) over (partition by conv_id) as n, row_number() over () as id from g),
+f as (select *, rtrim(text, {_TRIM}) as bare, row_number() over (partition by conv_id, role, text order by i) > 1 as seen, left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by i) as last_initial from o),
+h as (select *, case when bare = '' then 'blank' when seen then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' end as fault from f),
+z as (select conv_id, max(n) as n from h group by conv_id),
+v as (select conv_id, n as i, {{'c': 0, 's': ''}} as v0, {{'c': 4, 's': 'II'}} as v1, {{'c': 2, 's': 'I'}} as v2, {{'c': 0, 's': ''}} as v3 from z
+      union all
+      select conv_id, i, least(w0, {{'c': w2.c + 2, 's': 'I' || w2.s}}, {{'c': w3.c + 4, 's': 'II' || w3.s}}), least(w1, {{'c': w2.c + 2, 's': 'I' || w2.s}}, {{'c': w3.c + 4, 's': 'II' || w3.s}}),
+        least(w2, {{'c': w3.c + 2, 's': 'I' || w3.s}}), least(w3, {{'c': w2.c + 2, 's': 'I' || w2.s}})
+      from (select v.conv_id, v.i - 1 as i,
+              least({{'c': v0.c + 3, 's': 'D' || v0.s}}, {{'c': case when stays and initial in ('s', 'u') then case initial when 's' then v1.c else v2.c end + late else 99999999 end, 's': 'K' || case initial when 's' then v1.s else v2.s end}}, {{'c': case when stays then v2.c + 2 + late else 99999999 end, 's': 'R' || v2.s}}) as w0,
+              least({{'c': v1.c + 3, 's': 'D' || v1.s}}, {{'c': case when stays and initial = 'u' then v2.c + late else 99999999 end, 's': 'K' || v2.s}}, {{'c': case when stays then v2.c + 2 + late else 99999999 end, 's': 'R' || v2.s}}) as w1,
+              least({{'c': v2.c + 3, 's': 'D' || v2.s}}, {{'c': case when stays and initial = 'a' then v3.c + late else 99999999 end, 's': 'K' || v3.s}}, {{'c': case when stays then v3.c + 2 + late else 99999999 end, 's': 'R' || v3.s}}) as w2,
+              least({{'c': v3.c + 3, 's': 'D' || v3.s}}, {{'c': case when stays and initial = 'u' then v2.c + late else 99999999 end, 's': 'K' || v2.s}}, {{'c': case when stays then v2.c + 2 + late else 99999999 end, 's': 'R' || v2.s}}) as w3
+            from v join (select *, coalesce(fault, '') not in ('blank', 'duplicate') as stays, case when fault = 'truncated' then 1 else 0 end as late from h) h
+              on v.conv_id is not distinct from h.conv_id and v.i = h.i)),
+b as (select conv_id, v0.c::bigint as cost, v0.s as audit from v where i = 0),
+e as (select conv_id, audit, p, audit[p] as edit, length(replace(audit[:p], 'I', '')) as i, length(replace(audit[:p], 'D', '')) as k from (select *, unnest(range(1, length(audit) + 1)) as p from b)),
+x as (select e.*, h.role, h.text, h.initial, bool_or(e.k = 1 and e.edit = 'K' and h.initial = 's') over (partition by e.conv_id) as has_system from e left join h on e.conv_id is not distinct from h.conv_id and e.i = h.i),
+y as (select conv_id, string_agg(case when edit = 'K' then role when (k % 2 = 1) = has_system then 'assistant' else 'user' end || ':' || case when edit = 'I' then '' else text end, chr(10) order by p) as told from x where edit != 'D' group by conv_id),
+s as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+        count(*) filter (i > 1 and last_initial || initial not in ('su', 'ua', 'au')) as illegal from h group by conv_id)
+select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(told, '')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join s on a.conv_id is not distinct from s.conv_id left join b on a.conv_id is not distinct from b.conv_id left join y on a.conv_id is not distinct from y.conv_id
+"""
+
+ORACLES = {"op3_source_schedule": _OP3, "op9_rule_ledger": _OP9, "op8_typed_parts": _OP8, "op11_tight_arcs": _OP11, "op12_densified_minhash": _OP12}
