@@ -253,15 +253,16 @@ def links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, text_col: str
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each node's connected component, for the nodes of `edges` (u, v)."""
+    """(node, root): the smallest node of each node's connected component, for the nodes of `edges` (u, v). A hub's rows are dealt over tasks."""
     edges = cut_lineage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:
+        hot = hot_keys(edges.groupBy("v").agg(F.count("*").alias("n")), "v", "n")
         for larger in (True, False):
             # Large star: each node sends its larger neighbours to its smallest one. Small star: its smaller ones and itself.
             sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else edges
             least = sides.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-            joined = sides.join(least, "u")
+            joined = salted_join(sides, least, "u", [F.col("v")], hot)
             moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if larger else joined.select("v", "m").unionByName(joined.select(F.col("u").alias("v"), "m")).toDF("u", "v")
             edges = moved.where("u != v").distinct()
         edges = cut_lineage(edges)
