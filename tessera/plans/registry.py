@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tessera.plans import queries as _  # registers them
+    from tessera.plans import evidence_queries, queries as _  # noqa: F401  registers them
 
     return _QUERIES
 
