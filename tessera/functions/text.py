@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,27 +113,44 @@ def excerpt(text: Column, limit: int, mark: str = "[truncated]") -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(kept)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once a row; inside a lambda, an expression would be for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sums_ahead(numbers: Column, chunk: int = 32) -> Column:
     """For each element of an array the sum of those ahead of it.
 
     Arrays have no running fold: sums are made of chunks, then over the chunks ahead, then within a chunk, so that the work is
     a small multiple of the length and no row has to be taken apart.
     """
+
     def add(x: Column) -> Column:
         return F.aggregate(x, F.lit(0).cast("long"), lambda s, n: s + n)
 
-    numbers = F.transform(numbers, lambda n: n.cast("long"))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / chunk).cast("int")), lambda k: add(F.slice(numbers, k * chunk + 1, F.lit(chunk))))
-    bases = F.transform(chunks, lambda _, k: add(F.slice(chunks, F.lit(1), k)))
-    own = lambda i: F.floor(i / chunk).cast("int")
-    return F.transform(numbers, lambda _, i: F.get(bases, own(i)) + add(F.slice(numbers, own(i) * chunk + 1, i - own(i) * chunk)))
+    def own(i: Column) -> Column:
+        return F.floor(i / chunk).cast("int")
+
+    def of_chunks(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), own(F.size(n))), lambda k: add(F.slice(n, k * chunk + 1, F.lit(chunk))))
+
+    def of_bases(n: Column, bases: Column) -> Column:
+        return F.transform(n, lambda _, i: F.get(bases, own(i)) + add(F.slice(n, own(i) * chunk + 1, i - own(i) * chunk)))
+
+    def of_numbers(n: Column) -> Column:
+        return let(of_chunks(n), lambda chunks: let(F.transform(chunks, lambda _, k: add(F.slice(chunks, F.lit(1), k))), lambda bases: of_bases(n, bases)))
+
+    return let(F.transform(numbers, lambda n: n.cast("long")), of_numbers)
 
 
 def pieces(text: Column, separator: str) -> Column:
     """What a separator parts, as array<struct<start, text>>; start is in characters, and empty pieces stay."""
-    parts, gaps = F.split(text, separator, -1), F.regexp_extract_all(text, F.lit(separator), F.lit(0))
-    lengths = F.transform(parts, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(gaps, i)), F.lit(0)))
-    return F.zip_with(sums_ahead(lengths), parts, lambda at, p: F.struct(at.alias("start"), p.alias("text")))
+
+    def of_parts(parts: Column, gaps: Column) -> Column:
+        lengths = F.transform(parts, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(gaps, i)), F.lit(0)))
+        return F.zip_with(sums_ahead(lengths), parts, lambda at, p: F.struct(at.alias("start"), p.alias("text")))
+
+    return let(F.split(text, separator, -1), lambda parts: let(F.regexp_extract_all(text, F.lit(separator), F.lit(0)), lambda gaps: of_parts(parts, gaps)))
 
 
 def reportable(value: Column) -> Column:

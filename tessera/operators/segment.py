@@ -9,14 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import pieces
+
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no from 1, start, line): every line with its offset in code points, blank lines too."""
-    parts = F.split(F.col(text_col), "\n")
-    found = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(parts).alias("_pos", "line"))
-    ahead = Window.partitionBy(id_col).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(ahead), F.lit(0))
-    return found.select(id_col, (F.col("_pos") + 1).alias("line_no"), start.cast("long").alias("start"), "line")
+    found = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(pieces(F.col(text_col), "\n")).alias("_pos", "_p"))
+    return found.select(id_col, (F.col("_pos") + 1).alias("line_no"), F.col("_p.start").alias("start"), F.col("_p.text").alias("line"))
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

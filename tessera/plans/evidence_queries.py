@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import rights
+from tessera.operators import coordinates, outline, rights, segment
 from tessera.operators.rights import Check, Lexicon, Shows
 from tessera.plans.registry import query
 
@@ -109,3 +109,60 @@ def best_supported_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest boundary of each source's documents, and how many of them reach it."""
     found = rights.adjudicate(_claims(spark, sf_dir), STAND_IN)
     return rights.best_supported(found, ["source"], "maximum_supported_boundary")
+
+
+_PLACES = r"""d as (select doc_id, text, regexp_extract_all(text, '[^\s\x0B\x{A0}]+') as ws, regexp_extract_all(text, '[\s\x0B\x{A0}]*[^\s\x0B\x{A0}]+') as ps from documents where text is not null),
+un as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as w, unnest(ps) as p from d),
+tok as (select doc_id, i, w, lead(w) over o as w2, lead(w, 2) over o as w3, sum(length(p)) over (o rows between unbounded preceding and current row)::bigint as upto from un window o as (partition by doc_id order by i)),
+ln as (select doc_id, unnest(range(1, len(ls) + 1)) as line_no, unnest(ls) as line from (select doc_id, str_split(text, chr(10)) as ls from d)),
+bl as (select *, regexp_full_match(line, '[\s\x0B]*') as blank from ln),
+pa as (select doc_id, line_no, line, blank, sum(case when not blank and (before is null or before) then 1 else 0 end) over (partition by doc_id order by line_no)::int as paragraph_no from (select *, lag(blank) over (partition by doc_id order by line_no) as before from bl)),
+sp as (select *, regexp_extract_all(line, '[^\s\x0B\x{A0}]+') as w from pa where regexp_matches(line, '[^\s\x0B\x{A0}]')),
+di as (select distinct doc_id, w from sp),
+may as (select di.doc_id, di.w, tok.i, tok.upto - length(tok.w) as start from di join tok on tok.doc_id = di.doc_id and tok.w = di.w[1] where (len(di.w) < 2 or tok.w2 = di.w[2]) and (len(di.w) < 3 or tok.w3 = di.w[3])),
+ats as (select may.*, e.upto as "end" from may join tok e on e.doc_id = may.doc_id and e.i = may.i + len(may.w) - 1 join d on d.doc_id = may.doc_id where regexp_extract_all(substr(d.text, may.start + 1, e.upto - may.start), '[^\s\x0B\x{A0}]+') = may.w),
+pl as (select doc_id, w, count(*) as n, min(start) as start, min("end") as "end" from ats group by 1, 2)"""
+
+
+@query(f"""with {_PLACES} select sp.doc_id, sp.line_no, case when n = 1 then 'document_exact' else 'unresolved' end as mapping_method, case when n > 1 then 'multiple_exact_matches' else '' end as warnings, n::bigint as candidates,
+case when n = 1 then start end::bigint as verified_start, case when n = 1 then "end" end::bigint as verified_end, case when n = 1 then paragraph_no end as paragraph_no from sp join pl on sp.doc_id = pl.doc_id and sp.w = pl.w""")
+def span_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with words, looked for in its document, and the paragraph in which it stands."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = segment.lines(docs).where(F.size(coordinates.words(F.col("line"))) > 0)
+    found = coordinates.locate(spans.select("doc_id", "line_no", "line"), docs, "doc_id", "line")
+    found = found.select("doc_id", "line_no", "mapping_method", F.array_join("mapping_warnings", " ").alias("warnings"), F.size("candidates").cast("long").alias("candidates"), "verified_start", "verified_end")
+    return coordinates.within(found, coordinates.paragraphs(docs, "doc_id"), "doc_id", "verified_start", ["paragraph_no"])
+
+
+_MARKS = (("A-F", "#"), ("G-L", "##"), ("M-R", "###"), ("S-V", "####"))
+_MARKED_TEXT = "text"
+for _letters, _mark in _MARKS:
+    _MARKED_TEXT = rf"regexp_replace({_MARKED_TEXT}, '(^|\n)([{_letters}])', '\1{_mark} \2', 'g')"
+
+
+@query(rf"""with recursive d as (select doc_id, {_MARKED_TEXT} as t from documents where text is not null),
+l as (select doc_id, i, ls[i] as line, coalesce(ls[i + 1], '') as next, coalesce(sum(length(ls[i]) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, str_split(t, chr(10)) as ls from d))),
+p as (select *, regexp_extract(rtrim(line, chr(13)), '^\s{{0,3}}(#{{1,6}})\s+(.+?)\s*#*\s*$', 1) as marks, regexp_extract(rtrim(line, chr(13)), '^\s{{0,3}}(#{{1,6}})\s+(.+?)\s*#*\s*$', 2) as said, regexp_replace(line, '^[\s\x0B]+|[\s\x0B]+$', '', 'g') as bare from l),
+q as (select *, case when marks != '' then said else bare end as heading, marks != '' or (bare != '' and length(bare) <= 140 and not contains(bare, '|') and bare[1] not in ('>', '-', '*', '+') and len(regexp_split_to_array(bare, '[\s\x0B]+')) <= 12) as may from p),
+k as (select *, ['results', 'unknown', 'unknown', 'abstract', 'methods'][length(str_split(heading, ' ')[1]) % 5 + 1] as kind from q where may),
+h0 as (select doc_id, start, heading, kind, case when marks != '' then 'marked' when regexp_matches(next, '^[\s\x0B]*(=+|-+)[\s\x0B]*$') then 'underlined' else 'plain' end as form, case when marks != '' then length(marks) when regexp_matches(next, '^[\s\x0B]*=+[\s\x0B]*$') then 1 else 2 end::int as level from k where marks != '' or (kind != 'unknown' and not ends_with(bare, '.'))),
+h1 as (select *, row_number() over (partition by doc_id order by start) as no from h0),
+h2 as (select doc_id, start, heading, form, level, case when no = 1 and level = 1 and kind = 'unknown' then 'title' else kind end as kind, lead(start) over (partition by doc_id order by start) as next_start from h1),
+lasts as (select *, max(start) filter (level = 1) over w as l1, max(start) filter (level = 2) over w as l2, max(start) filter (level = 3) over w as l3, max(start) filter (level = 4) over w as l4, max(start) filter (level = 5) over w as l5 from h2 window w as (partition by doc_id order by start rows between unbounded preceding and 1 preceding)),
+h3 as (select * exclude (l1, l2, l3, l4, l5), nullif(greatest(case when level > 1 then coalesce(l1, -1) else -1 end, case when level > 2 then coalesce(l2, -1) else -1 end, case when level > 3 then coalesce(l3, -1) else -1 end, case when level > 4 then coalesce(l4, -1) else -1 end, case when level > 5 then coalesce(l5, -1) else -1 end), -1) as parent from lasts),
+h4 as (select *, row_number() over (partition by doc_id, parent order by start) as place from h3),
+r as (select doc_id, start, heading, form, level, kind, next_start, parent, place::varchar as outline, kind as type, 0 as distance, false as broken from h4 where parent is null
+      union all select h.doc_id, h.start, h.heading, h.form, h.level, h.kind, h.next_start, h.parent, r.outline || '.' || h.place, case when h.kind = 'unknown' and h.level = r.level + 1 and r.type not in ('title', 'abstract') then r.type else h.kind end,
+        case when h.kind = 'unknown' and h.level = r.level + 1 and r.type not in ('title', 'abstract', 'unknown') then r.distance + 1 else 0 end, h.kind = 'unknown' and h.level != r.level + 1 from h4 h join r on h.doc_id = r.doc_id and h.parent = r.start),
+a as (select doc_id, start, coalesce(next_start, (select length(t) from d where d.doc_id = r.doc_id)) as "end", level, form, outline, parent, kind, type, distance, broken from r
+      union all select doc_id, 0, coalesce(first, length(t)), 0, null, '', null, 'unknown', 'unknown', 0, false from d left join (select doc_id, min(start) as first from h2 group by 1) using (doc_id) where first is null or first > 0)
+select doc_id, row_number() over (partition by doc_id order by start)::int as section_no, start, "end"::bigint as "end", level, form, outline, parent as parent_start, kind as direct_type, type, case when kind = 'unknown' and type != 'unknown' then distance end::int as distance, broken from a""")
+def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of documents whose lines are marked as headings by their first letters; short lines are headings by themselves."""
+    marked = F.col("text")
+    for letters, mark in _MARKS:
+        marked = F.regexp_replace(marked, f"(^|\n)([{letters}])", f"$1{mark} $2")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", marked.alias("text"))
+    found = outline.sections(docs, "doc_id", label=lambda h: _choice(F.length(F.get(F.split(h, " "), F.lit(0))), "results", "unknown", "unknown", "abstract", "methods"))
+    return found.select("doc_id", "section_no", "start", "end", "level", "form", F.array_join("outline", ".").alias("outline"), "parent_start", "direct_type", "type", "distance", "broken")
