@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import coordinates, outline, rights, segment
+from tessera.operators import candidates, coordinates, outline, rights, segment
 from tessera.operators.rights import Check, Lexicon, Shows
 from tessera.plans.registry import query
 
@@ -166,3 +166,36 @@ def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", marked.alias("text"))
     found = outline.sections(docs, "doc_id", label=lambda h: _choice(F.length(F.get(F.split(h, " "), F.lit(0))), "results", "unknown", "unknown", "abstract", "methods"))
     return found.select("doc_id", "section_no", "start", "end", "level", "form", F.array_join("outline", ".").alias("outline"), "parent_start", "direct_type", "type", "distance", "broken")
+
+
+#: Runs of letters in place of a domain's triggers, strongest first.
+TRIGGERS = (("first", "thhe|nicht"), ("second", "onou"), ("third", "[0-9]{2}"))
+
+
+@query(r"""with d as (select doc_id, text, regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?\n]+') as ps from documents where regexp_matches(text, '[^\s\x0B]')),
+e as (select doc_id, text, list_transform(ps, lambda p, i: {'at': length(p)::bigint, 'st': case when regexp_matches(p, '^[^.!?\n]') and (regexp_matches(p, '[.!?]$') or i = len(ps)) then 1 else 0 end::bigint, 'en': 0::bigint, 'done': []::struct(a bigint, b bigint)[]}) as es from d),
+f as (select doc_id, text, list_reduce(es, lambda a, x: {'at': a.at + x.at, 'st': case when x.st = 0 then a.st when a.st < 0 or (a.at + x.at - a.st > 600 and a.en > a.st) then a.at else a.st end, 'en': case when x.st = 0 then a.en else a.at + x.at end,
+  'done': case when x.st = 1 and a.st >= 0 and a.at + x.at - a.st > 600 and a.en > a.st then list_append(a.done, {'a': a.st, 'b': a.en}) else a.done end}, {'at': 0::bigint, 'st': -1::bigint, 'en': -1::bigint, 'done': []::struct(a bigint, b bigint)[]}) as r from e),
+w as (select doc_id, text, unnest(case when length(text) <= 600 then [{'a': 0::bigint, 'b': length(text)::bigint}] when r.st >= 0 then list_append(r.done, {'a': r.st, 'b': r.en}) else list_transform(range((length(text) - 1) // 600 + 1), lambda k: {'a': k * 600, 'b': least(length(text), (k + 1) * 600)::bigint}) end) as w, length(text) <= 600 as whole, r.st >= 0 as sentences from f),
+t as (select doc_id, w.a as candidate_start, w.b as candidate_end, substr(text, w.a + 1, w.b - w.a) as said, case when whole then 'whole_source_node' when sentences then 'bounded_sentence_window' else 'bounded_character_window' end as generation_method from w),
+k as (select *, regexp_matches(said, 'thhe|nicht', 'i') as k1, regexp_matches(said, 'onou', 'i') as k2, regexp_matches(said, '[0-9]{2}', 'i') as k3 from t)
+select doc_id, candidate_start, candidate_end, generation_method, md5(said) as digest, case when k1 then 'first' when k2 then 'second' else 'third' end as candidate_kind, case when k1 then 1 when k2 then 2 else 3 end as candidate_priority, concat_ws(' ', case when k1 then 'first' end, case when k2 then 'second' end, case when k3 then 'third' end) as trigger_signals,
+round((0.35 + 0.1 * (k1::int + k2::int + k3::int))::double, 3) as candidate_score from k where k1 or k2 or k3""")
+def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of whole sentences with a trigger, of whole texts."""
+    nodes = _t(spark, sf_dir, "documents").select("doc_id", F.lit(0).cast("long").alias("start"), "text")
+    found = candidates.candidates(nodes, "doc_id", triggers=TRIGGERS, most=600)
+    return found.select("doc_id", "candidate_start", "candidate_end", "generation_method", F.md5("candidate_text").alias("digest"), "candidate_kind", "candidate_priority", F.array_join("trigger_signals", " ").alias("trigger_signals"), "candidate_score")
+
+
+@query(r"""with d as (select doc_id, text, string_split_regex(text, 'onou|[0-9]{2}|thhe') as gs, regexp_extract_all(text, 'onou|[0-9]{2}|thhe') as hs from documents where text is not null),
+h as (select doc_id, length(text) as n, unnest(range(1, len(hs) + 1)) as k, unnest(hs) as hit, unnest(gs[:len(hs)]) as gap from d),
+p as (select doc_id, n, hit, sum(length(gap) + length(hit)) over (partition by doc_id order by k) as upto from h),
+v as (select doc_id, greatest(upto - length(hit) - 40, 0)::bigint as a, least(upto + 40, n)::bigint as b from p),
+m as (select *, case when a <= max(b) over (partition by doc_id order by a, b rows between unbounded preceding and 1 preceding) + 10 then 0 else 1 end as fresh from v),
+g as (select *, sum(fresh) over (partition by doc_id order by a, b rows unbounded preceding) as island from m)
+select doc_id, min(a) as start, max(b) as "end", count(*) as n from g group by doc_id, island""")
+def merged_trigger_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 40 characters around each hit, merged where they are 10 apart at most."""
+    nodes = _t(spark, sf_dir, "documents").select("doc_id", F.lit(0).cast("long").alias("start"), F.length("text").alias("length"), "text")
+    return candidates.around(candidates.hits(nodes, "onou|[0-9]{2}|thhe"), ["doc_id"], 40, "length", 10)
