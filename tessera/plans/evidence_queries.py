@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import candidates, coordinates, outline, rights, segment
+from tessera.operators import candidates, coordinates, linking, outline, rights, segment
 from tessera.operators.rights import Check, Lexicon, Shows
 from tessera.plans.registry import query
 
@@ -199,3 +199,36 @@ def merged_trigger_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 40 characters around each hit, merged where they are 10 apart at most."""
     nodes = _t(spark, sf_dir, "documents").select("doc_id", F.lit(0).cast("long").alias("start"), F.length("text").alias("length"), "text")
     return candidates.around(candidates.hits(nodes, "onou|[0-9]{2}|thhe"), ["doc_id"], 40, "length", 10)
+
+
+def _linkable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as spans of their source: order, paragraph and section go by id, roles by runs of letters."""
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id")
+    has = lambda part: F.contains(text, F.lit(part))
+    context = k % 9 == 0
+
+    def role(name: str, when: Column, structured: Column, phrase: Column, specific: Column, relation: Column) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("role"), structured.alias("structured"), phrase.alias("phrase"), specific.alias("specific"), relation.alias("relation")))
+
+    no, yes = F.lit(False), F.lit(True)
+    roles = F.array_compact(F.array(role("performance", ~context & has("thhe"), has("onou"), has("thea"), has("enen"), k % 17 == 0), role("validation", ~context & has("heti"), has("erer"), has("anon"), has("tble"), no), role("context_hint", context, no, yes, no, no)))
+    family = F.when(F.col("lang") == "en", "a").when(F.col("lang") == "de", "b").when(F.col("lang") == "fr", "mixed")
+    return _t(spark, sf_dir, "documents").select(F.col("source").alias("paper_id"), k.alias("span_id"), k.alias("span_order"), F.floor(k / 4).alias("paragraph"), F.floor(k / 16).alias("section"), family.alias("family"), (has("tion") & ~context).alias("primary"), context.alias("context_only"), (k % 13 == 0).alias("family_conflict"), roles.alias("roles"))
+
+
+@query("""with d as (select source, doc_id as k, doc_id // 4 as par, doc_id // 16 as sec, case lang when 'en' then 'a' when 'de' then 'b' end as fam, coalesce(text, '') as t, doc_id % 9 = 0 as ctx, doc_id % 13 = 0 as conf from documents where source is not null),
+s as (select source, k, par, sec, fam, ctx, conf, contains(t, 'tion') and not ctx as prim, 'performance' as role, contains(t, 'onou') as st, contains(t, 'thea') as ph, contains(t, 'enen') as sp, k % 17 = 0 as rel from d where not ctx and contains(t, 'thhe')
+  union all select source, k, par, sec, fam, ctx, conf, contains(t, 'tion'), 'validation', contains(t, 'erer'), contains(t, 'anon'), contains(t, 'tble'), false from d where not ctx and contains(t, 'heti')
+  union all select source, k, par, sec, fam, ctx, conf, false, 'context_hint', false, true, false, false from d where ctx),
+p as (select a.source, a.k as target_id, s.k as span_id, s.role, abs(a.k - s.k) as distance, abs(a.par - s.par) <= 1 as beside, a.sec = s.sec as near, a.fam is not null and s.fam is not null and a.fam <> s.fam as other, a.fam is not null and s.fam is not null and a.fam = s.fam as same, s.ctx, s.conf, s.prim, s.st, s.ph, s.sp, s.rel from d a join s on a.source = s.source and a.k <> s.k),
+c as (select *, (case when st then 0.35 else 0 end + case when ph and not ctx then 0.25 else 0 end + case when beside then 0.15 else 0 end + case when near then 0.08 else 0 end + case when prim then 0.10 else -0.30 end + case when same then 0.07 else 0 end + case when conf then -0.25 else 0 end + case when (ctx or ph) and not sp and not st then -0.25 else 0 end)::double as raw from p where not other),
+q as (select *, round(case when ctx and beside then greatest(0.65, least(1, greatest(0, raw))) when ctx and near then greatest(0.60, least(1, greatest(0, raw))) else least(1, greatest(0, raw)) end, 4) as score from c where ctx or st or rel or (beside and ph) or (ph and role = 'validation')),
+r as (select *, row_number() over (partition by source, target_id, role order by score desc, distance, span_id) as n from q where score >= 0.6),
+u as (select source, target_id, span_id, max(score) as score, min(distance) as distance, string_agg(role, ',' order by role) as roles from r where n <= 2 group by all),
+w as (select *, row_number() over (partition by source, target_id order by score desc, distance, span_id) as place from u)
+select source as paper_id, target_id, span_id, score, distance, roles, place from w where place <= 12""")
+def linked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the best evidence of its source by role, by all ten weights."""
+    spans = _linkable(spark, sf_dir)
+    found = linking.links(spans, spans, width=1000)
+    return found.select("paper_id", "target_id", "span_id", "score", "distance", F.array_join("roles", ",").alias("roles"), F.col("place").cast("long").alias("place"))
