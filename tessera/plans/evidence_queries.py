@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import candidates, coordinates, linking, outline, rights, segment
+from tessera.operators import candidates, coordinates, hierarchy, linking, outline, rights, segment
 from tessera.operators.rights import Check, Lexicon, Shows
 from tessera.plans.registry import query
 
@@ -232,3 +232,38 @@ def linked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _linkable(spark, sf_dir)
     found = linking.links(spans, spans, width=1000)
     return found.select("paper_id", "target_id", "span_id", "score", "distance", F.array_join("roles", ",").alias("roles"), F.col("place").cast("long").alias("place"))
+
+
+@query("""with recursive o as (select o_custkey, o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as before, last_value(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and unbounded following) as last from orders),
+e as (select o_orderkey as node, before as needs from o where before is not null union select o_orderkey, last from o where before is null and o_custkey % 13 = 0),
+c as (select node, needs from e union select c.node, e.needs from c join e on c.needs = e.node),
+y as (select distinct node from c where node = needs)
+select c.node as o_orderkey, count(*) as needed, bool_or(c.node = c.needs) as in_cycle, bool_or(y.node is not null) as never_ready from c left join y on c.needs = y.node group by c.node""")
+def prerequisite_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that wait for their customer's earlier ones: how many each rests on, and which a cycle keeps waiting for ever."""
+    by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lag("o_orderkey").over(by_date).alias("before"), F.last("o_orderkey").over(by_date.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
+    edges = rows.select(F.col("o_orderkey").alias("node"), F.when(F.col("before").isNotNull(), F.col("before")).when(F.col("o_custkey") % 13 == 0, F.col("last")).alias("needs"))
+    reached = hierarchy.closure(edges)
+    waiting = hierarchy.cycles(reached)
+    counts = reached.groupBy("node").agg(F.count("*").alias("needed")).join(waiting, "node", "left")
+    return counts.select(F.col("node").alias("o_orderkey"), "needed", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"), F.coalesce(F.col("in_cycle") | F.col("behind_cycle"), F.lit(False)).alias("never_ready"))
+
+
+_TYPES = ("baseline_repeatability", "validation_gap_closure", "contamination_control", "electrolyte_window", "water_content_window", "operating_field_matrix", "product_state_accounting", "stability_failure", "HOR_proton_economy", "postmortem_failure_analysis")
+
+
+@query("""with r as (select o_orderkey::varchar as id, o_custkey as scope, ['baseline_repeatability', 'validation_gap_closure', 'contamination_control', 'electrolyte_window', 'water_content_window', 'operating_field_matrix', 'product_state_accounting', 'stability_failure', 'HOR_proton_economy', 'postmortem_failure_analysis'][o_orderkey % 10 + 1] as t, [0, 1, 1, 2, 2, 2, 3, 3, 4, 5][o_orderkey % 10 + 1] as s, o_orderstatus = 'F' as done, o_orderpriority = '1-URGENT' as deferred from orders),
+w(s, want) as (values (1, 'baseline_repeatability'), (2, 'baseline_repeatability'), (2, 'validation_gap_closure'), (2, 'contamination_control'), (3, 'baseline_repeatability'), (3, ''), (4, 'baseline_repeatability'), (4, 'product_state_accounting'), (5, 'stability_failure')),
+n as (select a.id, coalesce(b.id, case when w.want != '' then a.scope || '::' || w.want end) as needs, coalesce(b.done, false) as met from r a join w on a.s = w.s left join r b on a.scope = b.scope and case when w.want = '' then b.s = 2 and b.t != 'electrolyte_window' else b.t = w.want end),
+g as (select id, string_agg(needs, ' ' order by needs) as needs, coalesce(string_agg(case when not met then needs end, ' ' order by needs), '') as open from n where needs is not null group by id),
+k as (select r.*, coalesce(g.needs, '') as needs, coalesce(open, '') as open from r left join g on r.id = g.id),
+x as (select *, case when t = 'electrolyte_window' then 'non_executable' when done then 'completed' when deferred then 'blocked' when s = 5 then 'blocked' when open != '' and s = 4 then 'waived' when open != '' then 'blocked' else 'actionable' end as status from k)
+select id as route_id, s::int as stage_rank, needs as prerequisites, status as stage_gate_status, case when status = 'blocked' then open else '' end as blocked_by from x""")
+def route_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as routes of their customer: what each waits for by its stage, and whether it can be run."""
+    k = F.col("o_orderkey")
+    rows = _t(spark, sf_dir, "orders").select(k.cast("string").alias("route_id"), F.col("o_custkey").alias("scope"), _choice(k, *_TYPES).alias("route_type"), F.when(F.col("o_orderpriority") == "1-URGENT", hierarchy.DEFERRED).alias("priority_label"), F.col("o_orderstatus"))
+    needs = hierarchy.prerequisites(rows, ["scope"])
+    found = hierarchy.gates(rows, needs, rows.where("o_orderstatus = 'F'").select("route_id"), waived=[4])
+    return found.select("route_id", "stage_rank", F.array_join("prerequisite_route_ids", " ").alias("prerequisites"), "stage_gate_status", F.array_join("blocked_by_route_ids", " ").alias("blocked_by"))
