@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import candidates, coordinates, hierarchy, linking, outline, rights, segment
 from tessera.operators.rights import Check, Lexicon, Shows
 from tessera.plans.registry import query
+from tessera.sources.files import dealt
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +41,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: class, provenance, family and stated values go by id and language."""
     k = F.col("doc_id")
     family = F.when(F.col("lang") == "en", F.when(k % 5 == 0, "unclear").when(k % 5 == 1, "other").otherwise("eNRR")).when(F.col("lang") == "de", "NO3RR").when(F.col("lang") == "fr", "NORR").when(F.col("lang") == "es", "mixed")
-    return _t(spark, sf_dir, "documents").select(
+    return dealt(_t(spark, sf_dir, "documents")).select(
         "doc_id", "source", F.col("text").alias("source_text"), family.alias("reaction_family"),
         _choice(k, *["primary_performance_with_validation"] * 4, *["primary_performance"] * 2, "reference_list", "review_table", "protocol_guideline", "contamination_detection_evidence", "computational_screening").alias("text_class"),
         _choice(F.floor(k / 11), *["body"] * 5, "results", "table", "Table ", "figure_caption", "reference", "review_table", "supplementary", "Front Matter").alias("provenance_type"),
@@ -128,7 +129,7 @@ pl as (select doc_id, w, count(*) as n, min(start) as start, min("end") as "end"
 case when n = 1 then start end::bigint as verified_start, case when n = 1 then "end" end::bigint as verified_end, case when n = 1 then paragraph_no end as paragraph_no from sp join pl on sp.doc_id = pl.doc_id and sp.w = pl.w""")
 def span_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line with words, looked for in its document, and the paragraph in which it stands."""
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(_t(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = segment.lines(docs).where(F.size(coordinates.words(F.col("line"))) > 0)
     found = coordinates.locate(spans.select("doc_id", "line_no", "line"), docs, "doc_id", "line")
     found = found.select("doc_id", "line_no", "mapping_method", F.array_join("mapping_warnings", " ").alias("warnings"), F.size("candidates").cast("long").alias("candidates"), "verified_start", "verified_end")
@@ -163,7 +164,7 @@ def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.col("text")
     for letters, mark in _MARKS:
         marked = F.regexp_replace(marked, f"(^|\n)([{letters}])", f"$1{mark} $2")
-    docs = _t(spark, sf_dir, "documents").select("doc_id", marked.alias("text"))
+    docs = dealt(_t(spark, sf_dir, "documents")).select("doc_id", marked.alias("text"))
     found = outline.sections(docs, "doc_id", label=lambda h: _choice(F.length(F.get(F.split(h, " "), F.lit(0))), "results", "unknown", "unknown", "abstract", "methods"))
     return found.select("doc_id", "section_no", "start", "end", "level", "form", F.array_join("outline", ".").alias("outline"), "parent_start", "direct_type", "type", "distance", "broken")
 
@@ -183,7 +184,7 @@ select doc_id, candidate_start, candidate_end, generation_method, md5(said) as d
 round((0.35 + 0.1 * (k1::int + k2::int + k3::int))::double, 3) as candidate_score from k where k1 or k2 or k3""")
 def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of whole sentences with a trigger, of whole texts."""
-    nodes = _t(spark, sf_dir, "documents").select("doc_id", F.lit(0).cast("long").alias("start"), "text")
+    nodes = dealt(_t(spark, sf_dir, "documents")).select("doc_id", F.lit(0).cast("long").alias("start"), "text")
     found = candidates.candidates(nodes, "doc_id", triggers=TRIGGERS, most=600)
     return found.select("doc_id", "candidate_start", "candidate_end", "generation_method", F.md5("candidate_text").alias("digest"), "candidate_kind", "candidate_priority", F.array_join("trigger_signals", " ").alias("trigger_signals"), "candidate_score")
 
@@ -197,7 +198,7 @@ g as (select *, sum(fresh) over (partition by doc_id order by a, b rows unbounde
 select doc_id, min(a) as start, max(b) as "end", count(*) as n from g group by doc_id, island""")
 def merged_trigger_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 40 characters around each hit, merged where they are 10 apart at most."""
-    nodes = _t(spark, sf_dir, "documents").select("doc_id", F.lit(0).cast("long").alias("start"), F.length("text").alias("length"), "text")
+    nodes = dealt(_t(spark, sf_dir, "documents")).select("doc_id", F.lit(0).cast("long").alias("start"), F.length("text").alias("length"), "text")
     return candidates.around(candidates.hits(nodes, "onou|[0-9]{2}|thhe"), ["doc_id"], 40, "length", 10)
 
 

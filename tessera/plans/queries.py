@@ -11,6 +11,7 @@ from tessera.functions import text as T
 from tessera.functions.rules import first_match, keyword_hits, keyword_score, signals
 from tessera.operators import burdens, evidence, families, joins, metrics, provenance, risk, sampling, scoring, segment
 from tessera.plans.registry import query
+from tessera.sources.files import dealt
 
 #: Stand-ins for a domain's keywords, common in the tables' prose.
 KEYWORDS = ("the", "that", "which", "und", "nicht", "les", "pour", "los", "para", "token")
@@ -35,7 +36,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _top_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = segment.lines(_t(spark, sf_dir, "documents"))
+    lines = segment.lines(dealt(_t(spark, sf_dir, "documents").select("doc_id", "text")))
     scored = lines.withColumn("score", keyword_score(F.col("line"), KEYWORDS, STRONG)).where("score > 0")
     return sampling.top_by_group(scored, ["doc_id"], [F.desc("score"), F.col("line_no")], 3).withColumn("hits", keyword_hits(F.col("line"), KEYWORDS))
 
@@ -437,7 +438,7 @@ def turn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def span_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document classified by the evidence cascade, with its fields."""
-    found = evidence.extract(evidence.classify(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text"), "text")
+    found = evidence.extract(evidence.classify(dealt(_t(spark, sf_dir, "documents").select("doc_id", "text")), "text"), "text")
     return found.drop("text")
 
 
@@ -453,7 +454,7 @@ def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def span_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The provenance of every document's text."""
-    return provenance.infer(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+    return provenance.infer(dealt(_t(spark, sf_dir, "documents").select("doc_id", "text")), "text").drop("text")
 
 
 #: Neutral stand-ins for families: common words of four languages, with points.

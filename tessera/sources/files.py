@@ -133,3 +133,9 @@ def tree(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = _path(spark, folder)[1].makeQualified(_path(spark, folder)[0]).toString()
     return files.select(F.replace("path", F.lit(root.rstrip("/") + "/")).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """`df` over as many partitions as the session has cores, if it is read in fewer: else a file of one block is one task's work, however many texts it holds."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
