@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import candidates, coordinates, hierarchy, linking, outline, rights, segment
+from tessera.operators import candidates, coordinates, hierarchy, linking, outline, packets, rights, segment
 from tessera.operators.rights import Check, Lexicon, Shows
 from tessera.plans.registry import query
 from tessera.sources.files import dealt
@@ -268,3 +268,27 @@ def route_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     needs = hierarchy.prerequisites(rows, ["scope"])
     found = hierarchy.gates(rows, needs, rows.where("o_orderstatus = 'F'").select("route_id"), waived=[4])
     return found.select("route_id", "stage_rank", F.array_join("prerequisite_route_ids", " ").alias("prerequisites"), "stage_gate_status", F.array_join("blocked_by_route_ids", " ").alias("blocked_by"))
+
+
+_GATES = ("first", "second", "third", "fourth")
+
+
+@query(r"""with l as (select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from (select doc_id, str_split(text, chr(10)) as ls from documents where text is not null)),
+s as (select doc_id, i, length(line) as n, contains(line, 'tion') as a, contains(line, 'thhe') as b, contains(line, 'onou') as c, contains(line, 'nicht') as d, contains(line, 'that') as na, contains(line, 'erer') as nb, sum(length(line)) over (partition by doc_id order by i) as upto from l),
+p as (select x.doc_id, x.i, y.i as j, y.n, y.a, y.b, y.c, y.d, 2 * abs(x.i - y.i) - case when y.i < x.i then 1 else 0 end as key from s x join s y on x.doc_id = y.doc_id and x.i <> y.i and case when y.i < x.i then x.upto - x.n - y.upto else y.upto - y.n - x.upto end <= 400),
+u as (select *, sum(n) over (partition by doc_id, i order by key) as used from p),
+t as (select doc_id, i, count(*) as neighbours, max(used) as used, min(j) as lo, max(j) as hi, bool_or(a) as a, bool_or(b) as b, bool_or(c) as c, bool_or(d) as d from u where used <= 400 group by 1, 2),
+k as (select s.doc_id, s.i, coalesce(neighbours, 0) as neighbours, coalesce(used, 0) as used, least(s.i, coalesce(lo, s.i)) as first, greatest(s.i, coalesce(hi, s.i)) as last,
+  case when s.na then 'conflict_in_target' when s.a then 'observed_in_target' when t.a then 'observed_in_local_context' else 'missing' end as g1, case when s.nb then 'conflict_in_target' when s.b then 'observed_in_target' when t.b then 'observed_in_local_context' else 'missing' end as g2,
+  case when s.c then 'observed_in_target' when t.c then 'observed_in_local_context' else 'missing' end as g3, case when s.d then 'observed_in_target' when t.d then 'observed_in_local_context' else 'missing' end as g4 from s left join t on s.doc_id = t.doc_id and s.i = t.i)
+select doc_id, i::bigint as line_no, neighbours::bigint as neighbours, used::bigint as used, first::bigint as first, last::bigint as last, concat_ws(' ', g1, g2, g3, g4) as gates,
+case when g1 like 'obs%' and g2 like 'obs%' and g3 like 'obs%' and g4 like 'obs%' then 'complete' when g1 like 'obs%' or g2 like 'obs%' or g3 like 'obs%' or g4 like 'obs%' then 'partial' else 'none' end as gate_status from k""")
+def context_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every line the neighbours that fit 400 characters, and how they and the line cover four gates."""
+    lines = segment.lines(dealt(_t(spark, sf_dir, "documents").select("doc_id", "text")))
+    has = lambda part: F.contains(F.col("line"), F.lit(part))
+    shows, denies = packets.mask(dict(zip(_GATES, map(has, ("tion", "thhe", "onou", "nicht"))))), packets.mask({"first": has("that"), "second": has("erer")})
+    spans = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.length("line").alias("length"), shows.alias("shows"), denies.alias("denies"))
+    found = packets.neighbourhoods(spans, 400, "doc_id", "line_no").withColumns({"linked": F.lit(0).cast("long"), "against": F.lit(0).cast("long")})
+    found = packets.coverage(found, _GATES)
+    return found.select("doc_id", "line_no", F.size("neighbours").cast("long").alias("neighbours"), "used", "first", "last", F.concat_ws(" ", *(F.element_at("gates_covered", F.lit(g)) for g in _GATES)).alias("gates"), "gate_status")
