@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import candidates, coordinates, hierarchy, linking, outline, packets, rights, segment
+from tessera.operators import candidates, coordinates, hierarchy, identity, linking, outline, packets, rights, segment
 from tessera.operators.rights import Check, Lexicon, Shows
 from tessera.plans.registry import query
 from tessera.sources.files import dealt
@@ -292,3 +292,22 @@ def context_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packets.neighbourhoods(spans, 400, "doc_id", "line_no").withColumns({"linked": F.lit(0).cast("long"), "against": F.lit(0).cast("long")})
     found = packets.coverage(found, _GATES)
     return found.select("doc_id", "line_no", F.size("neighbours").cast("long").alias("neighbours"), "used", "first", "last", F.concat_ws(" ", *(F.element_at("gates_covered", F.lit(g)) for g in _GATES)).alias("gates"), "gate_status")
+
+
+@query(r"""with l as (select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from (select doc_id, str_split(text, chr(10)) as ls from documents where text is not null)),
+s as (select doc_id, i, (coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0))::bigint as start, length(line) as n, sha256(trim(regexp_replace(replace(line, chr(160), ' '), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) as sha from l),
+r as (select *, row_number() over (partition by doc_id, sha order by start) as occurrence from s)
+select doc_id, i::bigint as line_no, occurrence, case when i % 3 = 0 or n = 0 then 'legacy_order_anchored' else 'offset_anchored' end as method,
+'SPAN_' || sha256(case when i % 3 = 0 or n = 0 then '{"document_id":"' || doc_id || '","legacy_span_order":' || i || ',"paper_id":"' || doc_id || '","section_path":"lines","source_text_sha256":"' || sha || '"}'
+  else '{"document_id":"' || doc_id || '","paper_id":"' || doc_id || '","source_end_offset":' || (start + n) || ',"source_start_offset":' || start || ',"source_text_sha256":"' || sha || '"}' end) as stable_span_uid,
+'CONTENT_' || sha256('["' || doc_id || '","' || sha || '","' || occurrence || '"]') as content_id from r""")
+def span_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all lines, by their offsets or, for a third of them, their number, and by their content."""
+    lines = segment.lines(dealt(_t(spark, sf_dir, "documents").select("doc_id", "text")))
+    doc, by_number, none = F.col("doc_id").cast("string"), F.col("line_no") % 3 == 0, F.lit(None)
+    spans = lines.select(
+        "doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("start").alias("at"), doc.alias("paper_id"), doc.alias("document_id"), none.cast("string").alias("document_body_sha256"), F.array(F.lit("Lines ")).alias("section_path"), F.col("line").alias("source_text"), F.concat(doc, F.lit("_S"), F.col("line_no").cast("string")).alias("source_span_id"),
+        F.when(~by_number, F.col("start")).alias("source_start_offset"), F.when(~by_number, F.col("start") + F.length("line")).alias("source_end_offset"), none.cast("string").alias("mapping_method"), none.cast("long").alias("verified_start"), none.cast("long").alias("verified_end"),
+    )
+    found = identity.with_content_id(identity.with_uid(spans), ("doc_id",), order="at")
+    return found.select("doc_id", "line_no", "occurrence", F.col("stable_span_uid_method").alias("method"), "stable_span_uid", "content_id")
