@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import candidates, coordinates, hierarchy, identity, linking, outline, packets, rights, segment
+from tessera.operators import candidates, coordinates, freeze, hierarchy, identity, linking, outline, packets, rights, segment
 from tessera.operators.rights import Check, Lexicon, Shows
 from tessera.plans.registry import query
 from tessera.sources.files import dealt
@@ -311,3 +311,21 @@ def span_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = identity.with_content_id(identity.with_uid(spans), ("doc_id",), order="at")
     return found.select("doc_id", "line_no", "occurrence", F.col("stable_span_uid_method").alias("method"), "stable_span_uid", "content_id")
+
+
+@query("""with n as (select case when doc_id % 43 = 0 then doc_id + 10000000 else doc_id end as doc_id, case when doc_id % 37 = 0 then coalesce(text, '') || '!' else text end as text, lang, source from documents where doc_id % 41 <> 0)
+select coalesce(o.source, n.source) as folder, coalesce(o.doc_id, n.doc_id)::varchar as key, case when o.doc_id is null then 'added' when n.doc_id is null then 'removed' else 'changed' end as change from documents o full join n on o.doc_id = n.doc_id and o.source is not distinct from n.source
+where o.doc_id is null or n.doc_id is null or o.text is distinct from n.text""")
+def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second run of the documents changed, by source: some texts differ, some are gone, some have new ids."""
+    k = F.col("doc_id")
+    old = dealt(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    new = old.where(k % 41 != 0).select(F.when(k % 43 == 0, k + 10000000).otherwise(k).alias("doc_id"), F.when(k % 37 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")).alias("text"), "lang", "source")
+    return freeze.changes(old, new, "doc_id", "source")
+
+
+@query("""select b.item_id, min(case when d.doc_id = b.item_id then 'same_id' else 'same_text' end) as leak from benchmark b join documents d on d.doc_id = b.item_id or d.text = b.text group by b.item_id, case when d.doc_id = b.item_id then 1 else 0 end""")
+def held_out_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the benchmark whose id or whole text the documents have."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return freeze.leaks(_t(spark, sf_dir, "benchmark").select("item_id", "text"), docs, "item_id", "text")
