@@ -57,6 +57,9 @@ _GIVEN = "|".join(sorted({n for group in GIVEN.values() for n in group}, key=len
 _FIRST = "".join(sorted({n[0] for group in (*TITLES.values(), *GIVEN.values()) for n in group}))
 _SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)"
 _HEX = "[0-9A-Fa-f]{1,4}"
+# Calling codes of one and two digits (all others have three); words behind a title that make no name of it.
+CALLING = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+NO_NAMES = ("Analyst", "Architect", "Consultant", "Designer", "Developer", "Director", "Engineer", "Manager", "Pepper", "Scientist", "Universe", "World")
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
 #: Kind and pattern; the first that fits at a place wins. Each begins with a look at one character, so that most places cost no more.
@@ -70,11 +73,11 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     # Without a country code, as written in French and Spanish, and in German and English.
     ("phone", r"(?=[0679])(?<![\d.,:/-])(?<!\d )(?:0[1-9](?:[ .-]\d\d){4}|[679]\d\d(?: \d\d){3}|0\d{2,4}(?:[ /-]\d{6,8}|[ -]\d{3,4}[ -]\d{3,4}))(?![ .:/-]?\d)"),
     ("ip6", rf"(?=[0-9A-Fa-f])(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f]{{0,3}}\d)[0-9A-Fa-f]{{3,4}}:(?:{_HEX}:){{0,5}}(?::{_HEX}){{1,6}})(?![\w:])"),
-    ("ip", rf"(?=\d)\b(?:{_BYTE}\.){{3}}{_BYTE}\b"),
+    ("ip", rf"(?=\d)(?<!ersion )(?<!elease )\b(?:{_BYTE}\.){{3}}{_BYTE}\b"),
     ("ssn", r"(?=\d)\b\d{3}-\d{2}-\d{4}\b"),
     ("phone", r"(?=\d)\b\d{3}[ .-]\d{3}[ .-]\d{4}\b"),
     ("card", r"(?=\d)\b\d{4}(?:[ -]\d{4}){3}\b|(?=\d)\b\d{13,19}\b"),
-    ("person", rf"(?=[{_FIRST}])\b(?:(?:{_TITLE})\b\.?[ \u00A0]{_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME}\b)"),
+    ("person", rf"(?=[{_FIRST}])\b(?:(?:{_TITLE})\b\.?[ \u00A0](?!(?:{"|".join(NO_NAMES)})\b){_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME}\b)"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A text that has neither of these has no entity: the long pattern looks at few texts.
@@ -139,6 +142,13 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda s, v: s + v) % 10
 
 
+def _mod97(account: Column) -> Column:
+    """The remainder by 97 of an account number with its first four characters behind the others and letters as 10 to 35: 1 if its check holds."""
+    turned = F.split(F.concat(F.substr(account, F.lit(5)), F.left(account, F.lit(4))), "")
+    values = F.transform(F.filter(turned, lambda c: c != ""), lambda c: F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 55))
+    return F.aggregate(values, F.lit(0), lambda rest, v: F.pmod(rest * F.when(v > 9, 100).otherwise(10) + v, F.lit(97)))
+
+
 def _put_digits(form: Column, digits: Column) -> Column:
     """`form` with its digits, in order, replaced by those of `digits`."""
     parts = F.split(form, "")
@@ -220,7 +230,8 @@ def surrogate(kind: Column, form: Column, variant: Column, key: str) -> Column:
 def _drawn(kind: Column, form: Column, variant: Column, digest: Column) -> Column:
     """What stays at the front of the form, and the rest with each character replaced, put together by kind."""
     digits = F.regexp_replace(form, r"\D", "")
-    country = F.regexp_extract(form, r"^(\+\d{1,3}(?=[ .(-]))", 1)
+    # A calling code goes by the list, whatever stands behind it, so that a number's forms keep the same one; else the trunk zero stays.
+    country = F.regexp_extract(form, rf"^({CALLING}|0)", 1)
     front = F.when(kind == "phone", country).when(kind == "iban", F.left(form, F.lit(2))).when(kind == "key", F.left(form, F.lit(4))).when(kind == "card", F.left(digits, F.lit(1))).otherwise(F.lit(""))
     body = F.when(kind == "card", F.substr(digits, F.lit(2), F.length(digits) - 2)).when(kind == "domain", F.substring_index(form, ".", 1)).otherwise(F.substr(form, F.length(front) + 1))
     hexadecimal = (kind == "ip6") | (kind == "secret") & (form.rlike(r"^[0-9a-f]+$") | form.rlike(r"^[0-9A-F]+$"))
@@ -234,9 +245,18 @@ def _drawn(kind: Column, form: Column, variant: Column, digest: Column) -> Colum
         check = F.pmod(F.lit(20) - _luhn_sum(F.concat(body, F.lit("0"))) + off, F.lit(10))
         return let(F.concat(body, check.cast("string")), lambda d: _put_digits(form, d))
 
+    def iban(changed: Column) -> Column:
+        holds = _mod97(F.replace(form, F.lit(" "), F.lit(""))) == 1
+        rest = F.substr(changed, F.lit(5))
+        check = F.lit(98) - _mod97(F.concat(F.left(form, F.lit(2)), F.lit("00"), F.replace(rest, F.lit(" "), F.lit(""))))
+        # A check that did not hold does not hold afterwards either.
+        check = F.when(holds, check).otherwise(F.pmod(check - 2 + 1 + _number(digest, 31, 95), F.lit(97)) + 2)
+        return F.concat(F.left(form, F.lit(2)), F.lpad(check.cast("string"), 2, "0"), rest)
+
     def together(changed: Column) -> Column:
         return (
             F.when(kind == "card", checked(changed))
+            .when(kind == "iban", iban(changed))
             .when(kind == "domain", F.concat_ws(".", changed, letters, F.lit("example")))
             # Short forms have few others of their kind; after some draws they grow.
             .when((variant > 4) & kind.isin("local", "secret"), F.concat(changed, letters))

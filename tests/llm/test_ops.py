@@ -699,3 +699,22 @@ def test_a_plan_over_250_sizes_ends_beside_the_jvm(spark):
     assert sum(times for _, times in patterns) <= 1.02 * (sizes @ demand) / 256 + 1
     matrix = np.array([[0.0, 2.0, 1.0], [1.0, 0.0, 0.0], [3.0, 1.0, 4.0]])
     assert np.allclose(packing._inverse(matrix) @ matrix, np.eye(3))
+
+
+def iban_holds(account):
+    account = account.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def test_surrogates_keep_codes_trunk_zeros_and_checks(spark):
+    texts = ["Call 030 1234567 now", "Call +4915112345678 now", "Call +49 151 12345678 now", "Call +1 988 555 2485 now", "To DE89370400440532013000.", "To DE89 3704 0044 0532 0130 00.", "To GB82WEST12345698765432.", "To DE88370400440532013000.", "Sr Engineer and Dr Pepper met Miss Universe", "Since version 1.2.3.4 of it", "Dr Meier came"]
+    got = {r.doc_id: r.text for r in pii.replace(table(spark, texts), "a key").collect()}
+    assert got[0] != texts[0] and re.fullmatch(r"Call 0\d\d \d{7} now", got[0])
+    assert re.fullmatch(r"Call \+49\d{11} now", got[1]) and got[1] != texts[1]
+    assert re.fullmatch(r"Call \+49 \d{3} \d{8} now", got[2]) and got[2].replace(" ", "") == got[1].replace(" ", "")
+    assert re.fullmatch(r"Call \+1 \d{3} \d{3} \d{4} now", got[3])
+    for k in (4, 5, 6):
+        assert got[k] != texts[k] and got[k][:5] == texts[k][:5] and iban_holds(got[k][3:-1])
+    assert got[4].replace(" ", "") == got[5].replace(" ", "")
+    assert got[7] != texts[7] and not iban_holds(got[7][3:-1])
+    assert got[8] == texts[8] and got[9] == texts[9] and got[10] != texts[10]
