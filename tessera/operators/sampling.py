@@ -96,3 +96,69 @@ def rarest_first(df: DataFrame, category: str, order: Sequence[Column], k: int)
     sizes = df.groupBy(F.col(category).alias("_category")).agg(F.count("*").alias("_size"))
     found = df.join(sizes, F.col(category).eqNullSafe(F.col("_category"))).orderBy("_size", F.col(category), *order).limit(k)
     return found.drop("_category", "_size")
+
+
+def round_robin_sample(df: DataFrame, key: str, stratum: str, n: int, cover: Sequence[str] = (), seed: str | int = 16) -> DataFrame:
+    """n rows of `df`, one of each stratum in turn, rare strata first, with sampling_rank and selected_by.
+
+    `cover`: columns of which each value gets a row before the turns begin: of the first one the row of the rarest stratum, of
+    the others the first by hash, rare values first. Within a stratum hashes decide. A row is taken once, for its first
+    reason. Each stratum hands over n rows at most, which Spark cuts off within each task already.
+    """
+    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_size"))
+    rows = df.withColumn("_hash", sampling_key(seed, F.col(key))).join(sizes, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    own = Window.partitionBy(stratum).orderBy("_hash", key)
+    turn = F.struct(F.lit(len(cover)).alias("phase"), F.row_number().over(own).alias("a"), F.col("_size").alias("b"), name(stratum).alias("c"))
+    picked = [rows.withColumn("_place", F.row_number().over(own)).where(F.col("_place") <= n).drop("_place").withColumn("_turn", turn)]
+    for phase, c in enumerate(cover):
+        values = df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
+        first = Window.partitionBy(c).orderBy(*(["_size"] if phase == 0 else []), "_hash", key)
+        best = rows.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place").join(values, F.col(c).eqNullSafe(F.col("_v")))
+        # The first column's values come in order, the others' by how rare they are.
+        order = F.struct(F.lit(phase).alias("phase"), F.lit(0).alias("a"), (F.lit(0).cast("long") if phase == 0 else F.col("_n")).alias("b"), name(c).alias("c"))
+        picked.append(best.withColumn("_turn", order).drop("_v", "_n"))
+    every = picked[0]
+    for p in picked[1:]:
+        every = every.unionByName(p)
+    once = every.groupBy(F.col(key).alias("_key")).agg(F.min("_turn").alias("_turn"), F.min("_hash").alias("_hash")).orderBy("_turn", "_hash", "_key").limit(n)
+    reason = F.coalesce(F.get(F.array(*(F.lit(f"cover:{c}") for c in cover)), F.col("_turn.phase")), F.lit("turn")) if cover else F.lit("turn")
+    chosen = once.select("_key", reason.alias("selected_by"), F.when(F.col("_turn.phase") == len(cover), F.col("_turn.a")).alias("sampling_rank"))
+    return df.join(chosen, F.col(key) == F.col("_key")).drop("_key")
+
+
+# How far evidence is from its target, in characters.
+NEAR, MID = 2000, 6000
+
+
+def link_strata(links: DataFrame, spans: DataFrame) -> DataFrame:
+    """Links (link_id, paper_id, target_id, evidence_id, roles, eligibility) with validity, distance_band and stratum.
+
+    valid is false for a link to itself, one whose spans are not there or of another paper, and for a pair's repeats behind
+    the first by id; those have no stratum. `spans`: span_id, paper_id, start, node, claim_type, primary, provenance, needs_review.
+    """
+    def side(prefix: str) -> DataFrame:
+        return spans.select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("span_id", "paper_id", "start", "node", "claim_type", "primary", "provenance", "needs_review")))
+
+    rows = links.join(side("t"), F.col("target_id") == F.col("t_span_id"), "left").join(side("e"), F.col("evidence_id") == F.col("e_span_id"), "left")
+    place = F.row_number().over(Window.partitionBy("target_id", "evidence_id").orderBy("link_id"))
+    whole = F.col("t_span_id").isNotNull() & F.col("e_span_id").isNotNull() & (F.col("target_id") != F.col("evidence_id")) & F.col("t_paper_id").eqNullSafe(F.col("e_paper_id")) & F.col("paper_id").eqNullSafe(F.col("t_paper_id"))
+    # Repeats are counted among what is whole, so that a broken link does not stand for a pair.
+    rows = rows.withColumn("_whole", whole)
+    good = rows.where("_whole").withColumn("_place", place)
+    rows = good.withColumn("valid", F.col("_place") == 1).drop("_place").unionByName(rows.where("not _whole").withColumn("valid", F.lit(False)))
+    distance = F.abs(F.coalesce("t_start", F.lit(0)) - F.coalesce("e_start", F.lit(0)))
+    band = F.when(F.col("t_node").eqNullSafe(F.col("e_node")), "same_node").when(distance <= NEAR, "near").when(distance <= MID, "mid").otherwise("far")
+    or_else = lambda c, other: F.coalesce(F.col(c), F.lit(other))
+    role = F.coalesce(F.array_min("roles"), F.lit("untyped"))
+    review = or_else("t_needs_review", False) | or_else("e_needs_review", False)
+    stratum = F.concat_ws("|", role, or_else("t_claim_type", "untyped"), or_else("e_claim_type", "untyped"), F.when(or_else("t_primary", False), "target_primary").otherwise("target_nonprimary"), or_else("eligibility", "unknown"), or_else("e_provenance", "unknown_provenance"), band, F.when(review, "needs_review").otherwise("no_review_flag"))
+    made = rows.withColumns({"source_distance": F.when(F.col("valid"), distance), "distance_band": F.when(F.col("valid"), band), "stratum": F.when(F.col("valid"), stratum)})
+    return made.select(*links.columns, "valid", "source_distance", "distance_band", "stratum")
+
+
+def sample_report(sampled: DataFrame, everything: DataFrame, stratum: str) -> DataFrame:
+    """(stratum, available, selected) of every stratum."""
+    a = everything.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("available"))
+    b = sampled.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
+    return a.join(b, F.col("stratum").eqNullSafe(F.col("_s")), "left").select("stratum", "available", F.coalesce("_n", F.lit(0)).alias("selected"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import candidates, coordinates, freeze, hierarchy, identity, linking, outline, packets, rights, segment
+from tessera.operators import candidates, coordinates, freeze, hierarchy, identity, linking, outline, packets, rights, sampling, segment
 from tessera.operators.rights import Check, Lexicon, Shows
 from tessera.plans.registry import query
 from tessera.sources.files import dealt
@@ -329,3 +329,17 @@ def held_out_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the benchmark whose id or whole text the documents have."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
     return freeze.leaks(_t(spark, sf_dir, "benchmark").select("item_id", "text"), docs, "item_id", "text")
+
+
+@query("""with d as (select doc_id, source, lang, concat_ws('|', coalesce(lang, '?'), case when n_chars > 2000 then 'long' when n_chars > 400 then 'middle' else 'short' end, case when doc_id % 7 = 0 then 'review' else 'clear' end) as stratum, sha256('16' || chr(10) || doc_id) as h from documents),
+z as (select *, count(*) over (partition by stratum) as size, row_number() over (partition by stratum order by h, doc_id) as r, row_number() over (partition by lang order by (select count(*) from d e where e.stratum = d.stratum), h, doc_id) as l, row_number() over (partition by source order by h, doc_id) as s, count(*) over (partition by source) as ns from d),
+t as (select doc_id, h, 2 as phase, r as a, size as b, stratum as c from z union all select doc_id, h, 0, 0, 0, coalesce(lang, '') from z where l = 1 union all select doc_id, h, 1, 0, ns, coalesce(source, '') from z where s = 1),
+m as (select doc_id, h, min({'phase': phase, 'a': a, 'b': b, 'c': c}) as turn from t group by 1, 2)
+select doc_id, case turn.phase when 0 then 'cover:lang' when 1 then 'cover:source' else 'turn' end as selected_by, case when turn.phase = 2 then turn.a end as sampling_rank from m order by turn, h, doc_id limit 60""")
+def strata_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty documents in turns of strata, rare ones first, once every language and source has one."""
+    n, k = F.col("n_chars"), F.col("doc_id")
+    stratum = F.concat_ws("|", F.coalesce("lang", F.lit("?")), F.when(n > 2000, "long").when(n > 400, "middle").otherwise("short"), F.when(k % 7 == 0, "review").otherwise("clear"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang", stratum.alias("stratum"))
+    found = sampling.round_robin_sample(docs, "doc_id", "stratum", 60, ("lang", "source"))
+    return found.select("doc_id", "selected_by", F.col("sampling_rank").cast("long").alias("sampling_rank"))
