@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import candidates, coordinates, freeze, hierarchy, identity, linking, outline, packets, rights, sampling, segment
+from tessera.operators import candidates, coordinates, freeze, hierarchy, identity, linking, outline, packets, review, rights, sampling, segment
 from tessera.operators.rights import Check, Lexicon, Shows
 from tessera.plans.registry import query
 from tessera.sources.files import dealt
@@ -343,3 +343,19 @@ def strata_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang", stratum.alias("stratum"))
     found = sampling.round_robin_sample(docs, "doc_id", "stratum", 60, ("lang", "source"))
     return found.select("doc_id", "selected_by", F.col("sampling_rank").cast("long").alias("sampling_rank"))
+
+
+@query("""with d as (select doc_id, coalesce(text, '') as t, coalesce(n_chars, 0) as n, lang, doc_id % 5 = 0 as asked from documents),
+f as (select *, contains(t, 'onou') and lang = 'en' as c1, n < 60 as h1, contains(t, 'nicht') as h2, n > 4000 as m1, contains(t, 'thhe') as l1, contains(t, 'heti') as p1, contains(t, 'erer') as p2 from d),
+s as (select *, case when c1 then 10 when h1 or h2 then 8 when m1 then 4 when l1 then 1 else 0 end as rule_score, case when p1 then 5 when p2 then 2 when asked then 4 else 0 end as model_score, (case when p1 then 3 else 0 end + case when n > 9000 then 6 else 0 end) as audit from f),
+b as (select *, greatest(audit, rule_score + model_score) as score from s)
+select doc_id, rule_score, model_score, score as review_score, case when c1 then 'critical' when h1 or h2 or score >= 8 then 'high' when m1 or score >= 4 then 'medium' when l1 or score >= 1 then 'low' else 'none' end as review_band,
+(c1 or h1 or h2 or m1 or score >= 4 or p1 or p2 or asked) as needs_review, concat_ws(' ', case when c1 then 'c1' end, case when h1 then 'h1' end, case when h2 then 'h2' end, case when m1 then 'm1' end, case when l1 then 'l1' end, case when p1 then 'llm_more_permissive_than_rule' end, case when p2 then 'text_class_disagreement' end) as flags from b""")
+def review_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How soon people have to look at each document, by rules, a model's flags and an audit's points."""
+    docs, n = dealt(_t(spark, sf_dir, "documents")), F.coalesce("n_chars", F.lit(0))
+    has = lambda part: F.contains(F.coalesce("text", F.lit("")), F.lit(part))
+    rules = [("c1", "critical", has("onou") & (F.col("lang") == "en")), ("h1", "high", n < 60), ("h2", "high", has("nicht")), ("m1", "medium", n > 4000), ("l1", "low", has("thhe"))]
+    found = review.priority(review.requirements(docs, rules), [(3, "heti", has("heti")), (6, "long", n > 9000), (3, "heti", n < 0)])
+    found = review.model_requirements(found, F.array().cast("array<string>"), F.col("doc_id") % 5 == 0, {"llm_more_permissive_than_rule": has("heti"), "text_class_disagreement": has("erer")})
+    return review.merged(found, "audit_score").select("doc_id", "rule_score", "model_score", "review_score", "review_band", "needs_review", F.array_join("review_flags", " ").alias("flags"))
