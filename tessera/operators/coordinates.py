@@ -1,10 +1,9 @@
 """Where spans stand in their documents: exact places by a positional index of words, sections by place, anchors and ids.
 
 A span is looked for as a run of whole words; white space does not count, so that line breaks and no-break spaces are as
-good as spaces. Documents are taken apart into overlapping groups of WIDTH words with their places; a span asks for the
-groups that cover it, and a place that answers all of them, each at its distance, holds the span. So no text is searched
-once a span: the work grows with the words of documents and spans, not with their product. Spans of fewer words ask for
-single words. Equal spans of a document ask once.
+good as spaces. The distinct spans of a document come to its text in groups of at most GROUP; one pass over the text's words
+looks up each run of WIDTH words (of fewer, for shorter spans) among the spans' first words, and compares the rest where one
+begins. So the work grows with the words of documents and spans, not with their product, and no word is shuffled by itself.
 
 Defined results: a null or blank span, and one whose document is not there, is unresolved (exact_text_not_found,
 document_unresolved); one that is found at several places is unresolved (multiple_exact_matches), with all of them as
@@ -13,65 +12,82 @@ candidates, unless stated offsets or its section tell which. Rows keep all their
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.joins import nearest_before
 
-WIDTH = 3
+WIDTH, GROUP = 3, 10_000
 _WORD = r"[^\s\xA0]+"
-_SPACE = r"[\s\xA0]+"
+# Java's white space, which Python's is more than.
+_WORDS = re.compile(r"[^ \t\n\x0B\f\r\xA0]+")
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0))
 
 
-def _gram(tokens: Column, at: Column, width: int) -> Column:
-    return F.xxhash64(F.lit(width), F.slice(tokens, at + 1, F.lit(width)))
-
-
-def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, width, gram, pos, start, end): the groups of WIDTH words and the single words of each document."""
-    parts = T.pieces(F.concat(F.lit(" "), F.col(text_col)), _SPACE)
-    # The blank ahead makes the first piece empty, and shifts all others by one.
-    held = docs.where(F.col(text_col).isNotNull()).select(id_col, F.filter(parts, lambda p: p["text"] != "").alias("_p")).withColumn("_w", F.transform("_p", lambda p: p["text"]))
-    last = lambda i, width: F.get("_p", i + width - 1)
-
-    def groups(p: Column, i: Column) -> Column:
-        return F.array(*(
-            F.struct(F.lit(width).alias("width"), _gram(F.col("_w"), i, width).alias("gram"), i.alias("pos"), (p["start"] - 1).alias("start"), (last(i, width)["start"] - 1 + F.length(last(i, width)["text"])).alias("end")) for width in (1, WIDTH)
-        ))
-
-    return held.select(id_col, F.inline(F.flatten(F.transform("_p", groups)))).where("end is not null")
-
-
-def _asked(spans: DataFrame, id_col: str) -> DataFrame:
-    """(id, key, needed, width, gram, at) of distinct spans (id, key, _w)."""
-    n = F.size("_w")
-    wide = F.filter(F.sequence(F.lit(0), n - WIDTH), lambda i: (i % WIDTH == 0) | (i == n - WIDTH))
-    one = spans.where(n >= WIDTH).select(id_col, "key", "_w", F.lit(WIDTH).alias("width"), wide.alias("_ats"))
-    two = spans.where((n > 0) & (n < WIDTH)).select(id_col, "key", "_w", F.lit(1).alias("width"), F.sequence(F.lit(0), n - 1).alias("_ats"))
-
-    def grams(rows: DataFrame, width: int) -> DataFrame:
-        each = F.transform("_ats", lambda i: F.struct(i.alias("at"), _gram(F.col("_w"), i, width).alias("gram")))
-        return rows.select(id_col, "key", F.size("_ats").alias("needed"), "width", F.inline(each))
-
-    return grams(one, WIDTH).unionByName(grams(two, 1))
+def _said(text: Column) -> Column:
+    return F.array_join(words(text), " ")
+
+
+def _runs(text: str, asked: list[str]) -> Iterator[tuple[int, int, int]]:
+    """(number, start, end) of each place of each of the spans, whose words are apart by a space."""
+    spans = [said.split(" ") for said in asked]
+    firsts: dict[int, dict[tuple, list[int]]] = {}
+    for k, span in enumerate(spans):
+        if asked[k]:
+            firsts.setdefault(min(len(span), WIDTH), {}).setdefault(tuple(span[:WIDTH]), []).append(k)
+    held = [(m[0], m.start(), m.end()) for m in _WORDS.finditer(text)] if firsts else []
+    tokens = [word for word, _, _ in held]
+    for width, known in firsts.items():
+        for at, gram in enumerate(zip(*(tokens[k:] for k in range(width)))):
+            for k in known.get(gram, ()):
+                n = len(spans[k])
+                if at + n <= len(tokens) and (n <= WIDTH or tokens[at : at + n] == spans[k]):
+                    yield k, held[at][1], held[at + n - 1][2]
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, said, start, end) of each place; a span without one has a row without offsets."""
+    for batch in batches:
+        rows, said, starts, ends = [], [], [], []
+        for row, (text, asked) in enumerate(zip(batch["text"], batch["asked"])):
+            spans = asked.as_py()
+            missing = set(range(len(spans)))
+            for k, start, end in _runs(text.as_py(), spans):
+                missing.discard(k)
+                rows.append(row), said.append(spans[k]), starts.append(start), ends.append(end)
+            rows += [row] * len(missing)
+            said += [spans[k] for k in missing]
+            starts += [None] * len(missing)
+            ends += [None] * len(missing)
+        yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(rows, pa.int32())), pa.array(said, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["id", "said", "start", "end"])
+
+
+def _looked_up(spans: DataFrame, docs: DataFrame, id_col: str, span_text: str, text_col: str) -> DataFrame:
+    """(id, key, candidates) of each distinct span of a document that is there, also of those without a place."""
+    asked = spans.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _said(F.col(span_text)).alias("said")).repartition("id").distinct()
+    number = F.row_number().over(Window.partitionBy("id").orderBy("said"))
+    groups = asked.withColumn("_group", F.floor(number / GROUP)).groupBy("id", "_group").agg(F.collect_list("said").alias("asked"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = spans.schema[id_col].dataType.simpleString()
+    found = groups.join(texts.withColumn("id", F.col("id").cast(kind)), "id").select("id", "text", "asked").mapInArrow(_found, f"id {kind}, said string, start bigint, end bigint")
+    candidates = F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end"))))
+    return found.select("id", F.sha2("said", 256).alias("key"), "start", "end").groupBy("id", "key").agg(candidates.alias("candidates")).withColumnRenamed("id", id_col)
 
 
 def places(spans: DataFrame, docs: DataFrame, id_col: str = "document_id", span_text: str = "source_text", text_col: str = "text") -> DataFrame:
-    """(id, key, candidates array<struct<start, end>>) of each distinct span; key is that of `span_key`."""
-    distinct = spans.select(id_col, span_key(F.col(span_text)).alias("key"), words(F.col(span_text)).alias("_w")).dropDuplicates([id_col, "key"])
-    asked = _asked(distinct, id_col)
-    found = asked.join(index(docs, id_col, text_col), [id_col, "width", "gram"])
-    whole = found.groupBy(id_col, "key", (F.col("pos") - F.col("at")).alias("first")).agg(F.count("*").alias("n"), F.first("needed").alias("needed"), F.min("start").alias("start"), F.max("end").alias("end")).where("n = needed")
-    return whole.groupBy(id_col, "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("candidates"))
+    """(id, key, candidates array<struct<start, end>>) of each distinct span that has a place; key is that of `span_key`."""
+    return _looked_up(spans, docs, id_col, span_text, text_col).where(F.size("candidates") > 0)
 
 
 def span_key(text: Column) -> Column:
-    return F.sha2(F.array_join(words(text), " "), 256)
+    return F.sha2(_said(text), 256)
 
 
 def locate(spans: DataFrame, docs: DataFrame, id_col: str = "document_id", span_text: str = "source_text", text_col: str = "text", given: tuple[str, str] | None = None, section: tuple[str, str] | None = None) -> DataFrame:
@@ -80,10 +96,10 @@ def locate(spans: DataFrame, docs: DataFrame, id_col: str = "document_id", span_
     `given`: columns with stated offsets, which hold if the span stands there; `section`: columns with a section's bounds,
     within which a span that stands once is resolved even if it stands elsewhere as well.
     """
-    known = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lit(True).alias("_known")).distinct()
-    found = places(spans, docs, id_col, span_text, text_col).select(F.col(id_col).alias("_doc"), F.col("key").alias("_its"), F.col("candidates").alias("_all"))
+    # A document that is there has a row for each of its spans, found or not.
+    found = _looked_up(spans, docs, id_col, span_text, text_col).select(F.col(id_col).alias("_doc"), F.col("key").alias("_its"), F.col("candidates").alias("_all"), F.lit(True).alias("_known"))
     rows = spans.withColumn("_key", span_key(F.col(span_text)))
-    rows = rows.join(known, F.col(id_col) == F.col("_id"), "left").join(found, (F.col(id_col) == F.col("_doc")) & (F.col("_key") == F.col("_its")), "left")
+    rows = rows.join(found, (F.col(id_col) == F.col("_doc")) & (F.col("_key") == F.col("_its")), "left")
     every = F.coalesce("_all", F.array().cast("array<struct<start:bigint,end:bigint>>"))
     none = F.lit(None).cast("struct<start:bigint,end:bigint>")
     stated = F.filter(every, lambda c: (c["start"] == F.col(given[0])) & (c["end"] == F.col(given[1]))) if given else F.array().cast("array<struct<start:bigint,end:bigint>>")
@@ -105,14 +121,17 @@ def locate(spans: DataFrame, docs: DataFrame, id_col: str = "document_id", span_
 
 def within(spans: DataFrame, intervals: DataFrame, id_col: str, position: str, columns: list[str], start: str = "start", end: str = "end", width: int | None = 100_000) -> DataFrame:
     """`spans` with `columns` of the interval [start, end) of its document that holds its position, else null. Intervals do not overlap."""
-    # A name of its own for the position on both sides; spans without one find no interval.
-    side = intervals.select(id_col, F.col(start).cast("long").alias("_at"), *(F.col(c).alias(f"_of_{c}") for c in columns), F.col(end).alias("_until"))
-    own = spans.withColumn("_at", F.col(position).cast("long"))
-    found = nearest_before(own.where("_at is not null"), side, [id_col], "_at", [*(f"_of_{c}" for c in columns), "_until"], width)
-    holds = F.col("_at") < F.col("_until")
-    inside = found.select(*spans.columns, *(F.when(holds, F.col(f"_of_{c}")).alias(c) for c in columns))
-    kinds = {f.name: f.dataType for f in intervals.schema.fields}
-    return inside.unionByName(spans.where(F.col(position).isNull()).select("*", *(F.lit(None).cast(kinds[c]).alias(c) for c in columns)))
+    # Both sides are sorted together once, by cells of positions; an interval begins anew in each cell that it reaches into.
+    cell = lambda at: F.floor(at / width) if width else F.lit(0).cast("long")
+    first, last = F.col(start).cast("long"), F.col(end).cast("long") - 1
+    side = intervals.where(F.col(id_col).isNotNull() & (first <= last)).select(id_col, F.explode(F.sequence(cell(first), cell(last))).alias("_cell"), first.alias("_at"), F.struct(*(F.col(c).alias(f"_of_{c}") for c in columns), F.col(end).cast("long").alias("_until")).alias("_row"), F.lit(0).alias("_from"))
+    at = F.col(position).cast("long")
+    # Spans without a position find nothing; they are dealt out, as they may be many.
+    own = spans.select("*", F.coalesce(cell(at), -1 - F.spark_partition_id()).cast("long").alias("_cell"), at.alias("_at"), F.lit(1).alias("_from"))
+    order = Window.partitionBy(id_col, "_cell").orderBy("_at", "_from").rowsBetween(Window.unboundedPreceding, 0)
+    both = own.unionByName(side, allowMissingColumns=True).withColumn("_last", F.last("_row", ignorenulls=True).over(order)).where("_from = 1")
+    holds = F.col("_at") < F.col("_last._until")
+    return both.select(*spans.columns, *(F.when(holds, F.col(f"_last._of_{c}")).alias(c) for c in columns))
 
 
 def paragraphs(docs: DataFrame, id_col: str = "document_id", text_col: str = "text") -> DataFrame:

@@ -91,3 +91,19 @@ def test_summary_and_empty_tables(spark):
     assert coordinates.ledger_summary(located).first().asDict() == {"span_count": 3, "verified_span_mapping_count": 1, "unresolved_span_mapping_count": 2, "multiple_exact_match_count": 1, "source_locator_coverage": 0.333333, "duplicate_source_locator_count": 0}
     assert coordinates.locate(rows.limit(0), docs).count() == 0
     assert coordinates.locate(rows, docs.limit(0)).where("mapping_method = 'unresolved'").count() == 3
+
+
+def test_spans_are_read_once_and_groups_cover_all(spark, monkeypatch):
+    monkeypatch.setattr(coordinates, "GROUP", 3)
+    docs = spark.createDataFrame([(1, "a b c d e f g a b"), (1, "a b c d e f g a b")], "document_id int, text string")
+    said = ["a", "a b", "b c d", "c d e f g", "f g a", "e g", "g a b", "d"]
+    rows = spark.createDataFrame([(1, s) for s in said], "document_id int, source_text string")
+    located = coordinates.locate(rows, docs)
+    got = {r.source_text: [tuple(c) for c in r.candidates] for r in located.collect()}
+    assert got == {s: brute("a b c d e f g a b", s) for s in said}
+    # No table of words, and spans are not made anew for each join.
+    assert located._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
+    points = spark.createDataFrame([(1, 4), (1, None), (None, 4)], "d int, at int")
+    placed = coordinates.within(points, spark.createDataFrame([(1, 0, 30)], "d int, start int, end int"), "d", "at", ["end"], width=2)
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    assert sorted(map(tuple, placed.collect()), key=str) == [(1, 4, 30), (1, None, None), (None, 4, None)]
