@@ -84,3 +84,13 @@ def test_awkward_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {(r.target_id, r.span_id) for r in linking.links(df, df).collect()} == {(1, 2), (4, 2)}
     assert linking.links(df.limit(0), df).count() == linking.links(df, df.limit(0)).count() == 0
+
+
+def test_candidates_come_without_a_join_of_their_own_and_hopeless_classes_not_at_all(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame(paper(rng, "p", 60), SCHEMA)
+    joins = linking.links(df, df, width=50)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    # Classes (twice, as cells begin with what the ones ahead end with) and cells; none for candidates.
+    assert joins == 3
+    weak = spark.createDataFrame([("p", k, k, k, k, "a", False, False, True, [("process", False, True, False, False)], "") for k in range(5)], SCHEMA)
+    assert linking._around(weak, weak, None, True).count() == 0 < linking._around(weak, weak, None, False).count()
