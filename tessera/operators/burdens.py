@@ -71,7 +71,9 @@ def with_burdens(df: DataFrame, text: str, efficiency: str | None = None, told:
     `told`: for a metric the columns that hold its number; for the product state, any value counts. `efficiency`: the column
     of its number. A family that `families` lacks admits no burdens.
     """
-    body = F.lower(squeeze(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    # A column of its own: an expression would be worked out anew for nearly each of the hints.
+    df = df.withColumn("_body", F.lower(squeeze(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    body = F.col("_body")
     number = F.col(efficiency).cast("string").try_cast("double") if efficiency else F.lit(None).cast("double")
     in_text = body.rlike(r"\b(?:faradaic efficiency|fe)\b") & (body.contains("%") | body.contains("percent"))
     has_efficiency = number.isNotNull() | in_text
@@ -107,4 +109,5 @@ def with_burdens(df: DataFrame, text: str, efficiency: str | None = None, told:
     severity = first_match([("low", n == 0), ("high", F.when(doubtful, contaminated).otherwise(grave))], "medium")
     found = df.withColumn("burdens", signals({b: holds(b) for b in (*HINTS, MATRIX)}))
     wanted.insert(0, F.when(doubtful, F.array(F.lit(BODY))).otherwise(F.array().cast("array<string>")))
-    return found.withColumn("missing_measurements", F.array_distinct(F.concat(*wanted))).withColumn("severity", severity)
+    found = found.withColumn("missing_measurements", F.array_distinct(F.concat(*wanted))).withColumn("severity", severity)
+    return found.drop("_body")

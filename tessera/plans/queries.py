@@ -368,7 +368,7 @@ select doc_id, b as burdens, case when b = '' then 'low' when len(string_split(b
 @query(_burdens_sql())
 def document_burdens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The burdens that documents' whole texts hint at, and how grave they are."""
-    found = burdens.with_burdens(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    found = burdens.with_burdens(dealt(_t(spark, sf_dir, "documents").select("doc_id", "text")), "text")
     return found.select("doc_id", F.array_join("burdens", " ").alias("burdens"), "severity")
 
 

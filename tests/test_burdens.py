@@ -39,3 +39,9 @@ def test_measurements_that_are_missing(found):
     assert found[3].missing_measurements == ["NH3 yield", "energy efficiency", "voltage or potential", "runtime or stability", "product state"]
     assert found[7].missing_measurements == ["primary_body_text_required", "energy efficiency", "voltage or potential", "current density", "runtime or stability", "product state"]
     assert found[9].missing_measurements == []
+
+
+def test_a_text_is_brought_into_form_once(spark):
+    found = burdens.with_burdens(spark.createDataFrame([("a",)], "text string"), "text")
+    assert found.columns == ["text", "burdens", "missing_measurements", "severity"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
