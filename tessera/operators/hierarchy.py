@@ -1,8 +1,9 @@
 """Routes that wait for other routes: prerequisites by stage, everything a route rests on, cycles, gates and groups.
 
 `closure` follows edges from all nodes at once, round by round, and takes up a pair only when it is new, so that cycles end
-and are seen as nodes that need themselves. Each round is written out. What it gives is as large as its result, which the
-graph decides; `gates` needs the direct edges only.
+and are seen as nodes that need themselves. A round goes as far again as all before it, so that long chains take few rounds;
+where that would make many more pairs than there are, it goes one edge on. Each round is written out. What it gives is as
+large as its result, which the graph decides; `gates` needs the direct edges only.
 
 Defined results: edges with a null end are left out; equal edges count once. Routes of one id count as one. A route whose
 type no stage names is of the last stage. A parent that is not there is dropped.
@@ -26,6 +27,8 @@ STAGE_OF = {
 }
 WAITS_FOR: Mapping[int, Sequence[str]] = {1: ("baseline_repeatability",), 2: ("baseline_repeatability", "validation_gap_closure", "contamination_control"), 3: ("baseline_repeatability", "stage 2"), 4: ("baseline_repeatability", "product_state_accounting"), 5: ("stability_failure",)}
 GROUP, CHILDREN = "electrolyte_window", ("water_content_window", "proton_donor_window", "salt_solvent_window")
+#: Pairs that a round may make before equal ones are merged, as a multiple of those known.
+MOST_MADE = 4
 LAST, DEFERRED = len(STAGES) - 1, "defer_until_capability_available"
 
 
@@ -40,17 +43,20 @@ def _cut(df: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, node: str = "node", needs: str = "needs") -> DataFrame:
     """(node, needs, depth): all that a node needs, directly or not, and over how many edges at least."""
     direct = edges.select(F.col(node).alias("node"), F.col(needs).alias("needs")).where("node is not null and needs is not null").distinct()
-    direct = _cut(direct)
-    found = new = direct.withColumn("depth", F.lit(1))
-    step = direct.select(F.col("node").alias("_at"), F.col("needs").alias("_next"))
-    depth = 1
+    found = new = direct = _cut(direct.withColumn("depth", F.lit(1)))
+    reach = 1
     while True:
-        depth += 1
-        ahead = new.join(step, F.col("needs") == F.col("_at")).select("node", F.col("_next").alias("needs")).distinct()
-        new = _cut(ahead.join(found.select("node", "needs"), ["node", "needs"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
+        # `found` has all pairs that are `reach` apart at most: one farther apart has a node on its way that is just that far.
+        far = new.where(F.col("depth") == reach)
+        if far.isEmpty():
             return found
-        found = found.unionByName(new)
+        ends = far.groupBy("needs").agg(F.count("*").alias("_far"))
+        made, known = found.groupBy(F.col("node").alias("_at")).agg(F.count("*").alias("_known")).join(ends, F.col("needs") == F.col("_at"), "left").agg(F.sum(F.col("_far") * F.col("_known")), F.sum("_known")).first()
+        doubled = (made or 0) <= MOST_MADE * known
+        step = (found if doubled else direct).select(F.col("node").alias("_at"), F.col("needs").alias("_next"), F.col("depth").alias("_more"))
+        ahead = far.join(step, F.col("needs") == F.col("_at")).groupBy("node", F.col("_next").alias("needs")).agg((F.min("_more") + reach).alias("depth"))
+        new = _cut(ahead.join(found.select("node", "needs"), ["node", "needs"], "left_anti").select("node", "needs", "depth"))
+        found, reach = found.unionByName(new), 2 * reach if doubled else reach + 1
 
 
 def cycles(reached: DataFrame) -> DataFrame:

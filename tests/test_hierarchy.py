@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from tessera.operators import hierarchy
 
 
@@ -86,3 +88,17 @@ def test_groups_and_what_comes_next(spark):
     gate = hierarchy.gates(found, hierarchy.prerequisites(routes, ["run", "family"]), routes.where("route_id in ('b', 'v')").select("route_id"), satisfied=["contamination_control"])
     assert {tuple(r) for r in hierarchy.next_actionable(gate, ["run", "family"]).collect()} == {("r", "f", "s", 2)}
     assert hierarchy.with_children(routes.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 4, 1000])
+def test_long_chains_take_few_rounds(spark, monkeypatch, most):
+    rounds = []
+    cut = hierarchy._cut
+    monkeypatch.setattr(hierarchy, "_cut", lambda df: rounds.append(1) or cut(df))
+    monkeypatch.setattr(hierarchy, "MOST_MADE", most)
+    n = 20 if most else 6
+    # A chain, a circle with a way in, and two ways of unlike length.
+    edges = [(k, k + 1) for k in range(n)] + [(100, 101), (101, 102), (102, 103), (103, 101)] + [(200, 201), (201, 202), (202, 203), (200, 203), (203, 204)]
+    got = hierarchy.closure(spark.createDataFrame(edges, "node int, needs int")).coalesce(2)
+    assert sorted(map(tuple, got.collect())) == sorted((*pair, depth) for pair, depth in brute(edges).items())
+    assert len(rounds) <= (7 if most else n + 1)
