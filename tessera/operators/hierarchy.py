@@ -11,13 +11,13 @@ type no stage names is of the last stage. A parent that is not there is dropped.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.rules import first_match
+from tessera.sources.files import cut as _cut
 
 # Stages, what runs in each, and what each waits for in its scope: types, or all of a stage.
 STAGES = ("baseline_establishment", "admission_and_contamination", "electrolyte_operating_window", "interphase_flow_product_state", "hor_and_process_probe", "failure_triggered_postmortem")
@@ -32,14 +32,6 @@ MOST_MADE = 4
 LAST, DEFERRED = len(STAGES) - 1, "defer_until_capability_available"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """`df`, written to the folder that spark.checkpoint.dir names."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def closure(edges: DataFrame, node: str = "node", needs: str = "needs") -> DataFrame:
     """(node, needs, depth): all that a node needs, directly or not, and over how many edges at least."""
     direct = edges.select(F.col(node).alias("node"), F.col(needs).alias("needs")).where("node is not null and needs is not null").distinct()

@@ -121,3 +121,10 @@ def test_parts_of_triage(spark):
     assert [round(v, 9) for v in row[:6]] == [1.0, 0.2, 0.0, 1.0, 0.0, 0.0]
     assert row[6] == ["HOR_context", "long_runtime_or_stability", "current_density_reported"] and round(row[7], 9) == 0.45
     assert row[8] == ["stability_reported"] and row[9] == 0.6
+
+
+def test_consensus_reads_texts_once(spark):
+    from tessera.plans import queries
+
+    found = queries.family_propagation(spark, "/root/testdata/sf0.001")
+    assert "Relation" not in found._jdf.queryExecution().optimizedPlan().toString()
