@@ -161,11 +161,15 @@ a as (select doc_id, start, coalesce(next_start, (select length(t) from d where
 select doc_id, row_number() over (partition by doc_id order by start)::int as section_no, start, "end"::bigint as "end", level, form, outline, parent as parent_start, kind as direct_type, type, case when kind = 'unknown' and type != 'unknown' then distance end::int as distance, broken from a""")
 def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of documents whose lines are marked as headings by their first letters; short lines are headings by themselves."""
-    marked = F.col("text")
-    for letters, mark in _MARKS:
-        marked = F.regexp_replace(marked, f"(^|\n)([{letters}])", f"$1{mark} $2")
-    docs = dealt(_t(spark, sf_dir, "documents")).select("doc_id", marked.alias("text"))
-    found = outline.sections(docs, "doc_id", label=lambda h: _choice(F.length(F.get(F.split(h, " "), F.lit(0))), "results", "unknown", "unknown", "abstract", "methods"))
+
+    def marked(line: Column) -> Column:
+        mark = F.lit("")
+        for letters, own in _MARKS:
+            mark = F.when(F.left(line, F.lit(1)).between(*letters.split("-")), f"{own} ").otherwise(mark)
+        return F.concat(mark, line)
+
+    docs = dealt(_t(spark, sf_dir, "documents")).select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), marked), "\n").alias("text"))
+    found = outline.sections(docs, "doc_id", label=lambda h: _choice(F.length(F.substring_index(h, " ", 1)), "results", "unknown", "unknown", "abstract", "methods"))
     return found.select("doc_id", "section_no", "start", "end", "level", "form", F.array_join("outline", ".").alias("outline"), "parent_start", "direct_type", "type", "distance", "broken")
 
 

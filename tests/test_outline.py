@@ -78,6 +78,22 @@ def test_awkward_documents(spark):
     check(spark, [None, "", "\n\n", "no heading", "# only", "x\n# late", "Results", "Results\n", "# A\n### skipped\n#### below", "===\n---", "# results\n## a\n### b\n#### c"])
 
 
+def test_closing_marks(spark):
+    rng = random.Random(7)
+    check(spark, ["\n".join("#" * rng.randint(0, 3) + "".join(rng.choice("  ##\tab") for _ in range(rng.randint(0, 9))) for _ in range(20)) for _ in range(100)])
+
+
+def test_a_text_is_read_once_and_stays_where_it_is(spark, tmp_path):
+    text = "# A\n" + "word " * 200 + "\n## " + "b " * 5000
+    spark.createDataFrame([(k, text) for k in range(20)], "doc_id int, text string").write.parquet(f"{tmp_path}/docs")
+    found = outline.sections(spark.read.parquet(f"{tmp_path}/docs"), label=label).select("doc_id", "section_no", "start", "end", "type", F.array_join("outline", ".").alias("outline"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+    ahead_of_it = plan[: plan.index("Exchange hashpartitioning")]
+    assert "heading#" not in ahead_of_it and plan.count("regexp_extract(") == 2
+    assert {(r.start, r.end, r.outline) for r in found.collect()} == {(0, 1005, "1"), (1005, len(text), "1.1")}
+
+
 def test_the_domain_labels(spark):
     docs = spark.createDataFrame([(1, "# A paper\n\n## 2. Results and Discussion\ntext\n### Cell tests\nmore\nReferences\n[1] x")], "doc_id int, text string")
     rows = outline.sections(docs).orderBy("start").collect()
